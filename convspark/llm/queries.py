@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from convspark.llm import lines, simhash
+from convspark.llm import lines, packing, simhash
 from convspark.llm.common import table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -31,12 +31,16 @@ FROM keyed LEFT JOIN hot USING (key) GROUP BY doc_id
 """
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_line_dedup": op5_line_dedup, "op9_simhash": op9_simhash}
+    return {"op5_line_dedup": op5_line_dedup, "op6_packing": op6_packing, "op9_simhash": op9_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
