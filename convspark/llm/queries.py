@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from convspark.llm import lines, packing, simhash
+from convspark.llm import decontam, lines, packing, simhash
 from convspark.llm.common import table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -39,8 +39,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_line_dedup": op5_line_dedup, "op6_packing": op6_packing, "op9_simhash": op9_simhash}
+    return {"op5_line_dedup": op5_line_dedup, "op6_packing": op6_packing, "op9_simhash": op9_simhash, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
