@@ -11,7 +11,10 @@ to a sequence. Smaller lengths, longest first, go where they leave the smallest
 from __future__ import annotations
 
 import bisect
+import json
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -24,11 +27,21 @@ from convspark.llm.common import cut, only, utf8
 
 CAPACITY = 4096
 END_ID = 1
-#: Words whose ids a worker keeps; beyond it the memory starts afresh, with the same results.
-CACHE_WORDS = 500_000
+#: Words whose ids a worker keeps twice: those met lately, and those met before. The results don't depend on it.
+CACHE_WORDS = 300_000
 #: Pieces that are ranked by one task.
 RANKED = 50_000
-_TOKENIZERS: dict[str, tuple] = {}
+_TOKENIZERS: dict[str, Words] = {}
+# How a tokenizer is set up under which words can be encoded by themselves.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+SIMPLE_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 def default_tokenizer() -> str:
@@ -37,33 +50,67 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _load(path: str) -> tuple:
-    """The tokenizer and its ids of words, kept by the worker."""
-    if path not in _TOKENIZERS:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+class Words:
+    """A tokenizer and the ids of the words it has met, as little-endian unsigned 32-bit integers.
+
+    Where the tokenizer drops white space and splits letters from other characters, words between ASCII white space
+    are encoded by themselves, and of those made of Latin letters and ASCII marks the letters are one word for its
+    model, in lower case. Other words, and whole texts under other tokenizers, go through all of it.
+    """
 
-        _TOKENIZERS[path] = (Tokenizer.from_file(path), {})
-    return _TOKENIZERS[path]
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.lately, self.before, self.stems, self.marks = Tokenizer.from_file(path), {}, {}, {}, {}
+        own = json.loads(self.tokenizer.to_str())
+        self.by_word = own["normalizer"] == NORMALIZER and own["pre_tokenizer"] == PRE_TOKENIZER and not any(t["normalized"] for t in own["added_tokens"])
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytes_of = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
+
+    def encode(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def learn(self, word: str) -> bytes:
+        m = SIMPLE_WORD.fullmatch(word)
+        if not m:
+            return self.encode(word)
+        letters, mark = m[1].lower(), m[2]
+        if letters not in self.stems:
+            if len(self.stems) >= CACHE_WORDS:
+                self.stems.clear()
+            coded = letters if letters.isascii() else letters.translate(self.bytes_of)
+            self.stems[letters] = struct.pack(f"<{len(ids := [t.id for t in self.tokenizer.model.tokenize(coded)])}I", *ids)
+        if not mark:
+            return self.stems[letters]
+        if mark not in self.marks:
+            if len(self.marks) >= CACHE_WORDS:
+                self.marks.clear()
+            self.marks[mark] = self.encode(mark)
+        return self.stems[letters] + self.marks[mark]
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        if not self.by_word:
+            coded = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+            return [np.array(c.ids, dtype="<u4").tobytes() for c in coded]
+        words = [t.split() for t in texts]
+        met = set().union(*words)
+        new = met - self.lately.keys()
+        if len(self.lately) + len(new) > CACHE_WORDS:
+            self.lately, self.before, new = {}, self.lately, met
+        known = new & self.before.keys()
+        self.lately.update(zip(known, map(self.before.__getitem__, known), strict=True))
+        for word in new - known:
+            self.lately[word] = self.learn(word.decode())
+        find = self.lately.__getitem__
+        return [b"".join(map(find, ws)) for ws in words]
 
 
 def text_ids(texts: list[bytes], path: str) -> list[bytes]:
-    """Token ids of each text as little-endian unsigned 32-bit integers.
-
-    This tokenizer drops white space and never merges across it, so ids of words between ASCII white space, joined,
-    are those of the text.
-    """
-    tokenizer, known = _load(path)
-    words = [t.split() for t in texts]
-    new = list({w for ws in words for w in set(ws)} - known.keys())
-    if len(known) + len(new) > CACHE_WORDS:
-        known.clear()
-        new = list({w for ws in words for w in set(ws)})
-    for at in range(0, len(new), 4096):
-        part = new[at : at + 4096]
-        for word, coded in zip(part, tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False), strict=True):
-            known[word] = np.array(coded.ids, dtype="<u4").tobytes()
-    return [b"".join(map(known.__getitem__, ws)) for ws in words]
+    """Token ids of each text."""
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = Words(path)
+    return _TOKENIZERS[path].ids(texts)
 
 
 def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
@@ -71,8 +118,8 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
                 rows: list[tuple] = []
                 for doc_id, ids in zip(batch.column("doc_id").to_pylist(), text_ids(list(utf8(batch.column("text"))), path), strict=True):
                     ids += end

@@ -30,6 +30,22 @@ def test_special_strings():
         assert got == plain_ids(text)
 
 
+def test_words_as_they_come():
+    words = "Über ÀÉÎ ÿß été. (mot) Ñandú! a_b x-y l'eau don'T _x_ ºª ÷× ﬁn ǅ 12ab ab12 ... !'s Straße; é\u0301 e\u0301 İ ΑΣ".split(" ")
+    for text in [*words, " ".join(words)]:
+        got = np.frombuffer(packing.text_ids([text.encode()], packing.default_tokenizer())[0], dtype="<u4").tolist()
+        assert got == plain_ids(text), text
+
+
+def test_other_tokenizers():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    text = "Two  words,\n and más"
+    assert np.frombuffer(packing.text_ids([text.encode()], path)[0], dtype="<u4").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
 def check(placed, capacity):
     by = defaultdict(list)
     for sequence, offset, length in placed:
