@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from convspark.llm import decontam, digest, html, langid, lines, packing, quality, simhash
+from convspark.llm import decontam, digest, html, langid, lines, lm, packing, quality, simhash
 from convspark.llm.common import table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -20,6 +20,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.kept_digest(lines.dedup_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1))
 
@@ -63,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html": op1_html,
         "op3_language_id": op3_language_id,
+        "op4_language_model": op4_language_model,
         "op5_line_dedup": op5_line_dedup,
         "op6_packing": op6_packing,
         "op7_fingerprint": op7_fingerprint,
