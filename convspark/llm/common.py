@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,14 +15,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the cluster's shared checkpoint folder and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; where that is unset (tests, local runs), a new local folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written as Parquet in the shared folder and read again."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
-    The folder is the session's spark.checkpoint.dir; one is made only where that is unset (tests, local runs).
-    """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise df in the cluster's shared checkpoint folder and cut its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -139,7 +139,7 @@ def repeated_keys(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Da
 
 
 def _apply(keep_first: bool):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept", pa.large_string())])
+    names = ["doc_id", "n_lines", "n_dropped", "kept", "carried"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,28 +160,30 @@ def _apply(keep_first: bool):
                 n_lines.append(len(lines))
                 n_dropped.append(len(lines) - len(left))
                 kept.append(b"\n".join(left).decode("utf-8"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.large_string())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.large_string()), batch.column("carried")], names=names)
 
     return run
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: str = "none") -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept: each document without the lines that at least min_docs documents have.
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: str = "none", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_lines, n_dropped, kept and the columns to carry: each document without the lines that at least min_docs documents have.
 
     A line's key is the line without ASCII white space at its ends, A-Z lower-cased; keys of under min_chars code
     points stay. keep="first" keeps one such line, the first in the document of the smallest doc_id. A null or empty
     text is one empty line, which stays; an empty table gives no rows. Rows that repeat a doc_id each give a row, and
-    each counts as a document. Other columns of docs are not read.
+    each counts as a document. Columns of docs that are not named are not read.
     """
     if keep not in ("none", "first"):
         raise ValueError(f"keep: {keep!r}")
-    docs = only(docs, "doc_id", "text")
     hits = repeated_keys(docs, min_docs, min_chars)
     by_doc = hits.groupBy(F.col("doc_id").alias("hit_id")).agg(
         F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("doc_id").eqNullSafe(F.col("first_doc")), F.col("key"))).alias("firsts")
     )
-    joined = docs.join(by_doc, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left").select("doc_id", "text", "keys", "firsts")
-    return joined.mapInArrow(_apply(keep == "first"), "doc_id long, n_lines long, n_dropped long, kept string")
+    carried = F.struct(*[docs[c] for c in carry]) if carry else F.struct(F.lit(True).alias("_"))
+    rows = docs.select(docs["doc_id"], docs["text"], carried.alias("carried"))
+    joined = rows.join(by_doc, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left").select("doc_id", "text", "keys", "firsts", "carried")
+    out = joined.mapInArrow(_apply(keep == "first"), f"doc_id long, n_lines long, n_dropped long, kept string, carried {rows.schema['carried'].dataType.simpleString()}")
+    return out.select("doc_id", "n_lines", "n_dropped", "kept", *[F.col("carried")[c].alias(c) for c in carry])
 
 
 def kept_digest(deduped: DataFrame) -> DataFrame:
