@@ -17,3 +17,138 @@ def movie_statistics(voted: DataFrame) -> DataFrame:
         out = out.join(part, "movie")
     rates = {f"{k}_rate": F.col(k) / F.col("n_utts") for k in ("all_same", "all_first", "all_overlap", "pair_same", "pair_first", "pair_overlap")}
     return out.withColumns({"turns_per_dialog": F.col("n_turns") / F.col("n_dialogs"), "utts_per_turn": F.col("n_utts") / F.col("n_turns"), **rates})
+
+
+def duration_stats(utts: DataFrame, start: Column, end: Column, by: Sequence[str] = ()) -> DataFrame:
+    """Total and mean seconds of utterances, mean text length, total and mean seconds of dialogs, first start to
+    last end. One shuffle by dialog."""
+    per = utts.groupBy(*by, "dialog_id").agg(
+        F.sum(end - start).alias("s"), F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), (F.max_by(end, "pos") - F.min_by(start, "pos")).alias("span")
+    )
+    return per.groupBy(*by).agg(
+        F.sum("s").alias("utt_seconds"), (F.sum("s") / F.sum("n")).alias("mean_utt_seconds"), (F.sum("chars") / F.sum("n")).alias("mean_chars"),
+        F.sum("span").alias("dialog_seconds"), F.avg("span").alias("mean_dialog_seconds"),
+    )
+
+
+def label_distribution(utts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """C2"""
+    return utts.groupBy(*by, "main").agg(F.count("*").alias("n")).orderBy("n", "main")
+
+
+def multi_label_distribution(utts: DataFrame, min_count: int = 5) -> DataFrame:
+    """Ordered combinations of several labels that occur at least min_count times."""
+    combos = utts.filter(F.size("multi") > 1).groupBy(F.array_join("multi", "_").alias("labels")).agg(F.count("*").alias("n"))
+    return combos.filter(F.col("n") >= min_count).orderBy(F.desc("n"), "labels")
+
+
+def multi_label_rate(utts: DataFrame, min_count: int = 5) -> DataFrame:
+    """C4: utterances with a kept combination, of all. Both counts are aggregates of one row."""
+    kept = multi_label_distribution(utts, min_count).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("kept"))
+    return kept.crossJoin(utts.agg(F.count("*").alias("n_utts"))).select("kept", "n_utts", F.try_divide("kept", "n_utts").alias("rate"))
+
+
+def _moves(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    before = F.lag("main").over(Window.partitionBy(*keys).orderBy("pos"))
+    pairs = rows.withColumn("from_label", before).filter(F.col("from_label").isNotNull())
+    kind = F.when(F.col("from_label") == F.col("main"), "inertia").otherwise("shift")
+    return pairs.select(*[c for c in ("movie", "dialog_id", "turn_no", "pos") if c in rows.columns], "from_label", F.col("main").alias("to_label"), kind.alias("kind"))
+
+
+def turn_transitions(utts: DataFrame) -> DataFrame:
+    """Label of a turn's first utterance against that of the turn before."""
+    return _moves(A.segment_turns(utts).filter("pos_in_turn = 1"), ["dialog_id"])
+
+
+def within_turn_transitions(utts: DataFrame, include_last_turn: bool = False) -> DataFrame:
+    """Labels that follow each other in a turn; a dialog's last turn counts only if asked for."""
+    turns = A.segment_turns(utts)
+    if not include_last_turn:
+        turns = turns.withColumn("_last", F.max("turn_no").over(Window.partitionBy("dialog_id"))).filter("turn_no < _last").drop("_last")
+    return _moves(turns, ["dialog_id", "turn_no"])
+
+
+def transition_counts(moves: DataFrame, by: Sequence[str] = ("kind",)) -> DataFrame:
+    """C7"""
+    return moves.groupBy(*by, F.concat_ws("_", "from_label", "to_label").alias("move")).agg(F.count("*").alias("n")).orderBy("n", "move")
+
+
+def corpus_rollup(stats: DataFrame, movies: DataFrame) -> DataFrame:
+    """Sums over the listed movies, and their ratios."""
+    total = stats.join(movies.select("movie"), "movie", "left_semi").agg(*[F.sum(c).alias(c) for c in ("n_dialogs", "n_turns", "n_utts")])
+    return total.withColumns({"turns_per_dialog": F.col("n_turns") / F.col("n_dialogs"), "utts_per_turn": F.col("n_utts") / F.col("n_turns"), "utts_per_dialog": F.col("n_utts") / F.col("n_dialogs")})
+
+
+def speaker_demographics(speakers: DataFrame) -> DataFrame:
+    """Counts by age and by gender, in one pass."""
+    sets = speakers.groupingSets([["age"], ["gender"]], "age", "gender").agg(F.count("*").alias("n"), F.grouping("age").alias("g"))
+    return sets.select(F.when(F.col("g") == 0, "age").otherwise("gender").alias("kind"), F.coalesce("age", "gender").alias("value"), "n")
+
+
+def not_first_speaker_count(utts: DataFrame) -> DataFrame:
+    """Dialogs, transitions between neighbours, and the "turns" of a corpus whose current speaker is never
+    updated: 1 + utterances not by the dialog's first speaker."""
+    w = A.in_dialog()
+    first = F.first("speaker").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rows = utts.withColumns({"_other": (F.col("speaker") != first).cast("int"), "_move": (F.lag("main").over(w) != F.col("main")).cast("int")})
+    per = rows.groupBy("dialog_id").agg((1 + F.sum("_other")).alias("t"), F.sum("_move").alias("shift"), F.count("_move").alias("moves"))
+    return per.agg(F.count("*").alias("n_dialogs"), F.sum("t").alias("n_turns"), F.coalesce(F.sum("shift"), F.lit(0)).alias("shift"), (F.sum("moves") - F.coalesce(F.sum("shift"), F.lit(0))).alias("inertia"))
+
+
+def selection_stats(clips: DataFrame) -> DataFrame:
+    """C11: by tag of `a+b` cells: clips and their seconds."""
+    tags = F.explode(F.split(F.replace("tags", F.lit(" "), F.lit("")), r"\+"))
+    return clips.select(tags.alias("tag"), "seconds").groupBy("tag").agg(F.count("*").alias("n_clips"), F.sum("seconds").alias("seconds"))
+
+
+def movie_profile(utts: DataFrame) -> DataFrame:
+    """Long table movie, what, key, n: turns, utterances, labels and the four kinds of transition."""
+    counts = A.dialog_turn_counts(utts, ["movie"])
+    out = counts.select("movie", F.inline(F.array(*[F.struct(F.lit("count").alias("what"), F.lit(c).alias("key"), F.col(c).alias("n")) for c in ("n_dialogs", "n_turns", "n_utts")])))
+    out = out.union(utts.groupBy("movie", F.lit("label").alias("what"), F.col("main").alias("key")).agg(F.count("*").alias("n")))
+    for name, moves in (("turn", turn_transitions(utts)), ("within", within_turn_transitions(utts))):
+        counted = transition_counts(moves, ["movie", "kind"])
+        out = out.union(counted.select("movie", F.concat(F.lit(f"{name}_"), F.col("kind")), "move", "n"))
+    return out
+
+
+def profile_maps(profile: DataFrame) -> DataFrame:
+    """A profile as one row a movie with a map for each kind of count."""
+    return profile.groupBy("movie").pivot("what").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "n")))))
+
+
+def subset_profile(profile: DataFrame, movies: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Profiles of some movies added up; movies: movie and the columns of `by`."""
+    return profile.join(movies.select("movie", *by), "movie").groupBy(*by, "what", "key").agg(F.sum("n").alias("n"))
+
+
+def share_of_total(subset: DataFrame, total: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """C14: each key's share of the total, 0 where the subset lacks it, to 4 decimals."""
+    sets = subset.select(*by).distinct() if by else None
+    every = total.select("what", "key", F.col("n").alias("all_n"))
+    every = every.crossJoin(F.broadcast(sets)) if by else every  # a row for each of a few sets
+    return every.join(subset, [*by, "what", "key"], "left").select(*by, "what", "key", F.round(F.coalesce("n", F.lit(0)) / F.col("all_n"), 4).alias("share"))
+
+
+def length_stats(lengths: DataFrame, n: str, by: Sequence[str] = (), at: Sequence[float] = (0.5, 0.8, 0.95)) -> DataFrame:
+    """Mean, and for each q the value at index floor(n q) of the sorted lengths.
+
+    Ranks come from counts of distinct lengths, so no window sees more rows than there are lengths.
+    """
+    counts = lengths.groupBy(*by, n).agg(F.count("*").alias("k"))
+    w = Window.partitionBy(*by)
+    ranked = counts.withColumns({"upto": F.sum("k").over(w.orderBy(n)), "total": F.sum("k").over(w)})
+    value = lambda q: F.min(F.when(F.col("upto") > F.floor(F.col("total") * q), F.col(n)))
+    return ranked.groupBy(*by).agg((F.sum(F.col(n) * F.col("k")) / F.sum("k")).alias("mean"), *[value(q).alias(f"p{int(q * 100)}") for q in at])
+
+
+def class_weights(labels: DataFrame, label: str) -> DataFrame:
+    """C20: inverse frequency; the window runs over one row a label."""
+    counts = labels.groupBy(label).agg(F.count("*").alias("n"))
+    return counts.select(label, "n", (F.sum("n").over(Window.partitionBy()) / F.col("n")).alias("weight"))
+
+
+def dataset_label_counts(utts: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """By set: dialogs, sentences and a column for each label."""
+    wide = [F.count_if(F.col("main") == x).alias(x) for x in labels]
+    return utts.groupBy("set_name").agg(F.countDistinct("dialog_id").alias("n_dialogs"), F.count("*").alias("n_utts"), *wide)
