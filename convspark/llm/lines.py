@@ -134,7 +134,8 @@ def repeated_keys(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Da
     docs = only(docs, "doc_id", "text")
     shared = spark.sparkContext.broadcast(twice_filter(docs, min_chars))
     suspects = cut(docs.mapInArrow(_suspects(shared, min_chars), "doc_id long, key binary"))
-    decided = suspects.groupBy("key").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc")).filter(F.col("n_docs") >= min_docs)
+    # cut, so that the join below has an exchange on either side and Spark can split a key that many documents have
+    decided = cut(suspects.groupBy("key").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc")).filter(F.col("n_docs") >= min_docs))
     return suspects.join(decided.drop("n_docs"), "key")
 
 
