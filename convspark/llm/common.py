@@ -4,13 +4,31 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once an application, as tasks import it: they need no copy of their own."""
+    sc, package = spark.sparkContext, Path(__file__).resolve().parent.parent
+    if sc.applicationId in _SHIPPED or not package.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="spark-package-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    _SHIPPED.add(sc.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -45,7 +63,8 @@ def crc_mod(doc_id: str, n: int) -> Column:
 
 
 def only(docs: DataFrame, *columns: str) -> DataFrame:
-    """Just the named columns, whatever else (or however named) docs carries."""
+    """Just the named columns, whatever else (or however named) docs carries. Every operator starts here."""
+    ship(docs.sparkSession)
     return docs.select(*[docs[c] for c in columns])
 
 
