@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from convspark.llm.common import only, utf8
+from convspark.llm.common import cut, only, utf8
 
 MIN_WORDS, GRAM, HEAD, NEAR = 50, 8, 20, 3
 WINDOW = MIN_WORDS - HEAD + 1
@@ -175,8 +175,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     """
     docs = only(docs, "doc_id", "text").filter("doc_id is not null")
     heads = docs.mapInArrow(_suffix_heads, "doc_id long, at long, head long")
-    met = heads.groupBy("head").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low <> high")
-    places = heads.join(met.select("head"), "head", "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("at").alias("places"))
+    # cut, so that the join below has an exchange on either side and Spark can split a head that many documents have
+    met = cut(heads.groupBy("head").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low <> high").select("head"))
+    places = heads.join(met, "head", "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("at").alias("places"))
     kept = docs.join(places, F.col("doc_id") == F.col("id")).select("doc_id", "text", "places")
     rows = kept.mapInArrow(_suffixes, "doc_id long, at long, head long, after binary, before binary")
     ordered = rows.repartition("head").sortWithinPartitions("head", "after", "before", "doc_id")
