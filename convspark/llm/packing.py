@@ -28,7 +28,7 @@ from convspark.llm.common import cut, only, utf8
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a worker keeps twice: those met lately, and those met before. The results don't depend on it.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 450_000
 #: Pieces that are ranked by one task.
 RANKED = 50_000
 _TOKENIZERS: dict[str, Words] = {}
@@ -95,10 +95,10 @@ class Words:
             return [np.array(c.ids, dtype="<u4").tobytes() for c in coded]
         words = [t.split() for t in texts]
         met = set().union(*words)
-        new = met - self.lately.keys()
+        new = {w for w in met if w not in self.lately}
         if len(self.lately) + len(new) > CACHE_WORDS:
             self.lately, self.before, new = {}, self.lately, met
-        known = new & self.before.keys()
+        known = {w for w in new if w in self.before}
         self.lately.update(zip(known, map(self.before.__getitem__, known), strict=True))
         for word in new - known:
             self.lately[word] = self.learn(word.decode())
