@@ -23,9 +23,10 @@ from convspark.llm.common import crc_mod, only
 GRAMS = 4
 #: Hash buckets for each length of run.
 BUCKETS = 1 << 14
-#: Bounds of what is fitted on: labelled texts in all, and for each language; languages, the most frequent ones;
-#: landmarks in all. Fitting only; every text is scored whole.
-SAMPLE, PER_LANGUAGE, LANGUAGES, LANDMARKS = 3000, 300, 64, 256
+#: Bounds of what is fitted on: labelled texts in all, and for each language; landmarks in all. Every language has
+#: LEAST_SAMPLE texts, if there are as many, and LEAST_LANDMARKS, whatever their sum. Fitting only; texts are scored whole.
+SAMPLE, PER_LANGUAGE, LANDMARKS = 3000, 300, 256
+LEAST_SAMPLE, LEAST_LANDMARKS = 40, 4
 RIDGE, SHARPNESS = 1e-2, 6.0
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -64,7 +65,7 @@ def fit(samples: list[tuple[str, str]]) -> Model:
     if not languages:
         return Model([], np.zeros((GRAMS * BUCKETS, 0), dtype=np.float32))
     sets = [presence(text) for text, _ in samples]
-    each = max(1, LANDMARKS // len(languages))
+    each = max(LEAST_LANDMARKS, LANDMARKS // len(languages))
     chosen = [k for lang in languages for k in [k for k, (_, own) in enumerate(samples) if own == lang][:each]]
     landmarks = _dense([sets[k] for k in chosen])
     values, vectors = np.linalg.eigh((landmarks @ landmarks.T).astype(np.float64))
@@ -96,10 +97,10 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[floa
     return langs, scores
 
 
-def sample_by_class(rows: DataFrame, label: str, per_class: int, classes: int, total: int) -> DataFrame:
-    """About per_class rows of each of the most frequent classes, at most about `total`, chosen by the hash of doc_id."""
-    counts = rows.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label).limit(classes).collect()
-    each = max(1, min(per_class, total // max(1, len(counts))))
+def sample_by_class(rows: DataFrame, label: str, per_class: int, total: int, least: int = 1) -> DataFrame:
+    """About per_class rows of each class, at most about `total` or `least` a class, chosen by the hash of doc_id."""
+    counts = rows.groupBy(label).agg(F.count("*").alias("n")).collect()
+    each = max(least, min(per_class, total // max(1, len(counts))))
     share = {r[label]: min(1.0, each / r["n"]) for r in counts}
     if not share:
         return rows.limit(0)
@@ -110,7 +111,7 @@ def sample_by_class(rows: DataFrame, label: str, per_class: int, classes: int, t
 def train(docs: DataFrame, where: Column) -> Model:
     """Fit on a bounded sample of the documents `where` holds whose text and lang are not null."""
     rows = docs.filter(where & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    found = sample_by_class(rows, "lang", PER_LANGUAGE, LANGUAGES, SAMPLE).collect()
+    found = sample_by_class(rows, "lang", PER_LANGUAGE, SAMPLE, LEAST_SAMPLE).collect()
     found.sort(key=lambda r: (r["lang"], r["doc_id"] * 0x9E3779B1 % (1 << 32), r["text"]))
     return fit([(r["text"], r["lang"]) for r in found if _LETTER.search(r["text"])])
 

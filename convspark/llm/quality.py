@@ -82,7 +82,7 @@ def fit(rows: list[tuple[bytes, int]]) -> Model:
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on a bounded sample of labels: doc_id, quality (0 or 1), the rows with null left out."""
     rows = only(labels, "doc_id", "quality").filter("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
-    chosen = sample_by_class(rows, "quality", PER_CLASS, 2, 2 * PER_CLASS)
+    chosen = sample_by_class(rows, "quality", PER_CLASS, 2 * PER_CLASS)
     texts = docs.filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").collect()
     texts.sort(key=lambda r: (r["doc_id"] * 0x9E3779B1 % (1 << 32), r["quality"], r["text"]))
     return fit([(r["text"].encode(), r["quality"]) for r in texts])
