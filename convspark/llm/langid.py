@@ -118,23 +118,33 @@ def train(docs: DataFrame, where: Column) -> Model:
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "held_out", "lang_pred", "score", "has_letter", "carried"]
         for whole in batches:
             for at in range(0, whole.num_rows, 128):
                 batch = whole.slice(at, 128)
-                langs, scores = predict(shared.value, batch.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+                texts = batch.column("text").to_pylist()
+                langs, scores = predict(shared.value, texts)
+                letters = [bool(t and _LETTER.search(t)) for t in texts]
+                cells = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(letters, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *cells, batch.column("carried")], names=names)
 
     return run
 
 
-def identify(docs: DataFrame, modulus: int = 4, held: int = 2) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every document, from its whole text alone.
+def identify(docs: DataFrame, modulus: int = 4, held: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, has_letter and the columns to carry, for every document, from its whole text alone.
 
     docs: doc_id long, text, lang. Learned from documents whose crc32(doc_id) mod `modulus` is not `held`. held_out
     says that it is. A null text or one without a letter is `und` with score 0, as is every text if nothing could be
-    learned. Rows that repeat a doc_id each give a row. Other columns of docs are not read.
+    learned; has_letter tells the two apart. Rows that repeat a doc_id each give a row. Columns of docs that are not
+    named are not read.
     """
-    docs = only(docs, "doc_id", "text", "lang").withColumn("held_out", crc_mod("doc_id", modulus) == held)
-    model = train(docs, ~F.col("held_out"))
+    carried = F.struct(*[docs[c] for c in carry]) if carry else F.struct(F.lit(True).alias("_"))
+    learned = only(docs, "doc_id", "text", "lang")
+    held_out = crc_mod("doc_id", modulus) == held
+    model = train(learned.withColumn("held_out", held_out), ~F.col("held_out"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select("doc_id", "text", "held_out").mapInArrow(_score(shared), "doc_id long, held_out boolean, lang_pred string, score double")
+    rows = docs.select(docs["doc_id"], docs["text"], carried.alias("carried")).withColumn("held_out", held_out)
+    fields = f"doc_id long, held_out boolean, lang_pred string, score double, has_letter boolean, carried {rows.schema['carried'].dataType.simpleString()}"
+    out = rows.mapInArrow(_score(shared), fields)
+    return out.select("doc_id", "held_out", "lang_pred", "score", "has_letter", *[F.col("carried")[c].alias(c) for c in carry])

@@ -5,7 +5,7 @@ from collections import Counter
 import corpus_pipeline
 import numpy as np
 
-from convspark.llm import decontam, langid, lines, packing, simhash
+from convspark.llm import decontam, langid, lines, packing, resemblance
 
 
 def say(rng, n):
@@ -28,8 +28,10 @@ def test_against_brute(spark, tmp_path):
     left = [(i, t) for i, t in docs if t and langid._LETTER.search(t)]
     counts = Counter(k for _, t in left for k in lines.document_keys(t.encode(), 1))
     left = [(i, "\n".join(x for x in t.split("\n") if counts[lines.line_key(x.encode())] < 10)) for i, t in left]
-    own = {i: c for i, _, c in simhash.brute(left)}
-    left = list(dict(r for r in left if own[r[0]] == r[0]).items())
+    left = list(dict(left).items())
+    gone = resemblance.brute([(i, i, t) for i, t in left])
+    assert len(gone) >= 5
+    left = [(i, t) for i, t in left if i not in gone]
     hit = {i for i, _, _ in decontam.brute(left, items)}
     left = [(i, t) for i, t in left if i not in hit]
     assert {200, 201} <= hit and 202 not in dict(left) and len(left) > 50
