@@ -1,9 +1,15 @@
 """Main text of web pages by composite text density.
 
 Every node of a page's tree has the number of its characters and tags, and of those inside links. Its density is
-characters per tag, lowered by a logarithm whose base and argument follow the share of link text. The subtree whose
-children's densities sum highest holds the content; nodes inside it that are less dense than the thinnest node on the
-path from it to the body, and that are lists of links, are left out. An article or main element around it is taken whole.
+characters per tag, lowered by a logarithm whose base and argument follow the share of link text. The block whose child
+blocks' densities sum highest holds the content. The density of the thinnest block on the path from it to the body is
+the threshold: the highest parent on that path that has a block as dense beside the path is taken instead (the body only
+if that one's children sum to a third as much); of what is beside the path thinner blocks with links are left out, as
+are lists of links inside.
+
+Before that, elements that a page uses for something else than its text go, by their tags (NOT_TEXT) and by words in
+their class, id and role (NOT_TEXT_NAMES): the named furniture of a page, which can be as dense as its text. That an
+element is an article or main decides nothing, but that names on it and around it count less.
 """
 
 from __future__ import annotations
@@ -39,6 +45,7 @@ NOT_TEXT_NAMES = frozenset(
 )
 ARTICLE_NAMES = frozenset("ad advert advertisement sponsored promo comment reply related recommended".split())
 CONTENT = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that are left out if they hold links alone.
 LISTS = frozenset("ul ol dl div section table".split())
 #: Starting one of these ends an open element of the second column in the same parent.
@@ -50,10 +57,13 @@ _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
 class Node:
-    __slots__ = ("tag", "parts", "parent", "dropped", "chars", "tags", "link_chars", "link_tags", "sum", "density")
+    __slots__ = ("tag", "parts", "parent", "dropped", "block", "open", "chars", "tags", "link_chars", "link_tags", "sum", "density")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool):
         self.tag, self.parent, self.dropped, self.parts = tag, parent, dropped, []
+        # the block around it, and how many inline elements a block has open of each tag, so that no end looks in vain
+        self.block = self if parent is None or tag in BLOCK else parent.block
+        self.open: dict[str, int] = {}
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.sum = self.density = 0.0
 
@@ -79,6 +89,19 @@ def parse(page: str) -> Node:
     """The tree of a page, however broken: open elements end with their parent, stray ends are passed over."""
     root = node = Node("html", None, False)
     articles, seen, at, n = 0, False, 0, len(page)
+    blocks: dict[str, int] = {}  # open ones by tag
+
+    def close(last: Node, node: Node) -> Node:
+        """End all from node up to last; the parent of that."""
+        nonlocal articles
+        while True:
+            articles -= node.tag in CONTENT
+            counts = blocks if node.block is node else node.block.open
+            counts[node.tag] -= 1
+            if node is last:
+                return node.parent
+            node = node.parent
+
     while at < n:
         m = _TOKEN.search(page, at)
         text = page[at : m.start() if m else n]
@@ -91,28 +114,21 @@ def parse(page: str) -> Node:
         if not tag or tag == "html":
             continue
         if m[1]:
-            found, up = None, node
-            while up is not None and up is not root:
-                if up.tag == tag:
-                    found = up
-                    break
-                if up.tag in BLOCK and tag not in BLOCK:
-                    break  # an inline end does not end blocks
-                up = up.parent
-            if found is not None:
-                while node is not found:
-                    articles -= node.tag in CONTENT
-                    node = node.parent
-                articles -= node.tag in CONTENT
-                node = node.parent
+            # an inline end does not end blocks
+            if (blocks if tag in BLOCK else node.block.open).get(tag):
+                up = node
+                while up.tag != tag:
+                    up = up.parent if tag not in BLOCK or up.block is up else up.block
+                node = close(up, node)
             continue
         ends = ENDS.get(tag) or (ENDS["p"] if tag in BLOCK else None)
-        if ends:
+        while ends and node.block is not root and node.block.tag in ends:
+            node = close(node.block, node)
+        if ends and any(node.block.open.get(t) for t in ends):
             up = node
-            while up is not root and (up.tag not in BLOCK or up.tag in ends):
-                if up.tag in ends:
-                    node = up.parent
+            while up.tag not in ends:
                 up = up.parent
+            node = close(up, node)
         own = Node(tag, node, _marked(tag, m[3], articles > 0))
         node.parts.append(own)
         if tag in CONTENT and not own.dropped and not seen:
@@ -126,8 +142,10 @@ def parse(page: str) -> Node:
             if tag in ("textarea", "title") and end:
                 own.parts.append(html.unescape(page[m.end() : end.start()]))
         elif tag not in VOID and not m[3].endswith("/"):
-            node = own
+            counts = blocks if own.block is own else own.block.open
+            counts[tag] = counts.get(tag, 0) + 1
             articles += tag in CONTENT
+            node = own
     return root
 
 
@@ -159,15 +177,21 @@ def measure(root: Node) -> list[Node]:
     for node in nodes:
         chars, tags, links, link_tags = node.chars, max(1, node.tags), max(1, node.link_chars), max(1, node.link_tags)
         if chars:
-            base = log(chars / max(1, chars - node.link_chars) * node.link_chars + share * chars + e)
-            node.density = chars / tags * log(max(1.0, chars / links * tags / link_tags)) / max(1e-9, log(max(base, 1 + 1e-9)))
-        node.sum = sum(p.density for p in node.parts if isinstance(p, Node) and not p.dropped)
+            base = chars / max(1, chars - node.link_chars) * links + share * chars + e
+            node.density = chars / tags * log(max(1.0, chars / links * tags / link_tags)) / log(log(base))
+        # inline elements are part of their block
+        node.sum = sum(p.density if p.tag in BLOCK else p.sum for p in node.parts if isinstance(p, Node) and not p.dropped)
     return nodes
 
 
-def _blocks(top: Node, threshold: float) -> list[str]:
+def _blocks(top: Node, core: Node, threshold: float) -> list[str]:
     """Texts between block borders in page order, white space folded."""
     out, line = [], []
+    inside = {id(core)}  # the core and what holds it
+    up = core
+    while up is not top:
+        up = up.parent
+        inside.add(id(up))
 
     def end() -> None:
         text = " ".join("".join(line).split())
@@ -175,20 +199,28 @@ def _blocks(top: Node, threshold: float) -> list[str]:
             out.append(text)
         line.clear()
 
-    stack: list = [top]
+    def thin(p: Node, beside: bool) -> bool:
+        if p.density >= threshold or not p.chars or p.tag not in BLOCK:
+            return False
+        if beside:
+            return p.tag not in HEADINGS and (p.link_chars > 0 or p.parent.tag == "body")
+        return p.link_chars == p.chars and p.link_tags > 1 and p.tag in LISTS
+
+    stack: list = [(top, top is not core)]
     while stack:
-        p = stack.pop()
+        p, beside = stack.pop()
         if p is None:
             end()
         elif isinstance(p, str):
             line.append(p)
         elif p.tag == "br":
             line.append(" ")
-        elif p is top or not (p.dropped or p.density < threshold and p.chars and p.link_chars == p.chars and p.link_tags > 1 and p.tag in LISTS):
+        elif id(p) in inside or not (p.dropped or thin(p, beside)):
             if p.tag in BLOCK:
                 end()
-                stack.append(None)
-            stack.extend(reversed(p.parts))
+                stack.append((None, False))
+            around = id(p) in inside and p is not core
+            stack.extend((x, around) for x in reversed(p.parts))
     end()
     return out
 
@@ -201,23 +233,20 @@ def main_text(page: str | None) -> str:
     nodes = measure(root)
     if not root.chars:
         return ""
-    best = max(reversed(nodes), key=lambda x: x.sum)
-    if best.sum == 0:
-        best = root
-    around, up = {}, best
-    while up is not None:
-        around[up.tag] = up
-        up = up.parent
-    top = around.get("article") or around.get("main") or best
-    threshold, up = best.density, best
+    core = max(reversed(nodes), key=lambda x: x.sum)
+    core = root if core.sum == 0 else core.block
+    threshold, up = core.density, core
     while up is not None and up.tag != "html":
         if up.density:
             threshold = min(threshold, up.density)
         up = up.parent
-    if top.tag not in CONTENT:
-        while top.parent is not None and top.tag not in BLOCK:
-            top = top.parent
-    return "\n".join(_blocks(top, threshold))
+    top = up = core
+    while up.parent is not None and up.tag != "body":
+        beside = [p for p in up.parent.parts if isinstance(p, Node) and p is not up and not p.dropped and p.tag in BLOCK and p.density >= threshold]
+        if any(up.parent.tag not in ("body", "html") or 3 * p.sum >= core.sum for p in beside):
+            top = up.parent
+        up = up.parent
+    return "\n".join(_blocks(top, core, threshold))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

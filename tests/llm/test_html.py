@@ -1,3 +1,8 @@
+import random
+import re
+import time
+from math import e, log
+
 from convspark.llm import html
 
 LONG = "It was a long day and the words went on and on, without a link among them, until evening came."
@@ -30,3 +35,70 @@ def test_cases(spark):
         assert r.text == cases[r.page_id][1], (r.page_id, r.text[:300])
         assert r.n_chars == len(r.text)
     assert html.extract(df.limit(0)).count() == 0
+
+
+def test_densities_against_brute():
+    """Counts, densities and sums of random trees by their definitions, from the text of each element."""
+    rng = random.Random(3)
+
+    def build(depth):
+        tag = rng.choice(["div", "p", "span", "a", "section", "b"] if depth else ["div"])
+        inner = [build(depth + 1) if rng.random() < 0.5 and depth < 4 else ("", [rng.choice(["word", "some more words ", "x"])]) for _ in range(rng.randrange(1, 4))]
+        return tag, inner
+
+    def markup(t):
+        return "".join(p if isinstance(p, str) else markup(p) if p[0] else p[1][0] for p in t[1]) if not t[0] else f"<{t[0]}>{''.join(markup(p) if p[0] else p[1][0] for p in t[1])}</{t[0]}>"
+
+    def chars(t, linked=False, inside=False):
+        inside = inside or t[0] == "a"
+        return sum(chars(p, linked, inside) if p[0] else (len(p[1][0].replace(" ", "")) if inside or not linked else 0) for p in t[1])
+
+    def tags(t, only=None):
+        return sum((only in (None, p[0])) + tags(p, only) for p in t[1] if p[0])
+
+    def has_nested(t, outer=()):
+        return any(p[0] and (p[0] == "p" and "p" in outer or p[0] in ("div", "section") and "p" in (*outer, t[0]) or p[0] == "p" and t[0] == "p" or has_nested(p, (*outer, t[0]))) for p in t[1])
+
+    seen = 0
+    while seen < 60:
+        tree = build(0)
+        if has_nested(tree) or not chars(tree):
+            continue  # a paragraph would end early
+        seen += 1
+        root = html.parse(markup(tree))
+        html.measure(root)
+        share = chars(tree, True) / chars(tree)
+        todo = [(root.parts[0], tree, False)]
+        while todo:
+            node, t, inside = todo.pop()
+            c, n, lc, ln = chars(t), max(1, tags(t)), chars(t, True, inside and t[0] == "a"), max(1, tags(t, "a"))
+            assert (node.tag, node.chars, node.link_chars) == (t[0], c, lc)
+            if c:
+                links = max(1, lc)
+                assert abs(node.density - c / n * log(max(1.0, c / links * n / ln)) / log(log(c / max(1, c - lc) * links + share * c + e))) < 1e-9
+            kids = [p for p in node.parts if isinstance(p, html.Node)]
+            assert abs(node.sum - sum(k.density if k.tag in html.BLOCK else k.sum for k in kids)) < 1e-9
+            todo += [(k, p, inside) for k, p in zip(kids, [p for p in t[1] if p[0]], strict=True)]
+
+
+def test_no_tag_decides(sf):
+    """The same texts where article and main are called div."""
+    import pyarrow.parquet as pq
+
+    for page in pq.read_table(f"{sf}/pages.parquet", columns=["html"]).column("html").to_pylist():
+        assert html.main_text(re.sub(r"<(/?)(article|main)\b", r"<\1div", page or "")) == html.main_text(page)
+    parts = "".join(f"<section><h2>H{i}</h2>{''.join(f'<p>{LONG}</p>' for _ in range(3 + i))}</section>" for i in range(3))
+    want = "\n".join(x for i in range(3) for x in [f"H{i}", *[LONG] * (3 + i)])
+    assert html.main_text(page_of := page_with(parts)) == want, page_of
+
+
+def page_with(parts):
+    return f"<html><body><div class='menu'><a href=a>{LONG}</a></div><div><h1></h1>{parts}</div><div>Powered by x</div></body></html>"
+
+
+def test_hostile_nesting():
+    n = 100_000
+    for hostile in ("<b>" * n + "</i>" * n, "<span>" * n + "<p>" * n, "<i><div>" + "<b>" * n + "</i>" * n, "<span>" * n + "<p>x" * n):
+        began = time.perf_counter()
+        html.main_text(hostile)
+        assert time.perf_counter() - began < 20
