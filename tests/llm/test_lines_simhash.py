@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from convspark.llm import lines, simhash
@@ -15,11 +16,13 @@ def make(spark, texts):
     return spark.createDataFrame([(i, t, "k", 1, "en") for i, t in texts], DOCS)
 
 
-def test_lines_against_brute(spark):
+@pytest.mark.parametrize("broadcast_bits", [28, 0])
+def test_lines_against_brute(spark, monkeypatch, broadcast_bits):
+    monkeypatch.setattr(lines, "BROADCAST_BITS", broadcast_bits)
     rng = random.Random(5)
     pool = ["Common line", " common LINE\t", "other", "", "  ", "É", "é", "x" * 5000, "uniq"]
     texts = [(i, "\n".join([rng.choice(pool) for _ in range(rng.randrange(6))] + [f"own {i}"])) for i in range(60)]
-    texts += [(100, None), (101, ""), (102, "\n\n"), (5, texts[5][1]), (103, "a\r\nCommon line\r\n")]
+    texts += [(100, None), (101, ""), (102, "\n\n"), (5, texts[5][1]), (103, "a\r\nCommon line\r\n"), (None, "other\nuniq"), (None, "other")]
     for min_docs, min_chars in ((10, 1), (2, 3)):
         got = rows(lines.kept_digest(lines.dedup_lines(make(spark, texts), min_docs, min_chars)), "doc_id", "n_lines", "n_dropped", "kept_sha256")
         assert got == sorted(lines.brute(texts, min_docs, min_chars), key=repr)
@@ -47,20 +50,25 @@ def test_simhash_against_brute(spark):
     assert simhash.near_duplicates(make(spark, [])).count() == 0
 
 
-def test_links_of_close_fingerprints(spark):
+@pytest.mark.parametrize("few", [64, 2])
+def test_links_of_close_fingerprints(spark, monkeypatch, few):
+    monkeypatch.setattr(simhash, "FEW", few)
     rng = random.Random(3)
     prints = set()
     for _ in range(12):
         x = rng.getrandbits(64)
         prints |= {x} | {x ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(6)}
+    base = rng.getrandbits(64)  # a dense group, more than FEW to an entry
+    prints |= {base ^ (1 << a) ^ (1 << b) for a in range(20) for b in range(20)} | {base ^ (7 << k) ^ (7 << k + 30) for k in range(20)}
     prints = sorted(p - (1 << 64) if p >> 63 else p for p in prints)
     links = simhash.fingerprint_links(spark.createDataFrame([(p,) for p in prints], "fp long"))
     got = {(r["node"]): r["root"] for r in simhash.connected_components(links).collect()}
     root = {p: p for p in prints}
-    for _ in prints:
-        for p in prints:
-            for q in prints:
-                if ((p ^ q) & ((1 << 64) - 1)).bit_count() <= 2:
-                    root[p] = root[q] = min(root[p], root[q])
+    near = [(p, q) for p in prints for q in prints if ((p ^ q) & ((1 << 64) - 1)).bit_count() <= 2]
+    before = None
+    while before != root:
+        before = dict(root)
+        for p, q in near:
+            root[p] = root[q] = min(root[p], root[q])
     assert {p: got.get(p, p) for p in prints} == root
     assert links.filter(F.col("a") == F.col("b")).count() == 0
