@@ -59,12 +59,12 @@ def _dense(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def fit(samples: list[tuple[str, str]]) -> Model:
-    """From (text, language) rows."""
+def fit(samples: list[tuple[np.ndarray, str]]) -> Model:
+    """From (presence, language) rows."""
     languages = sorted({lang for _, lang in samples})
     if not languages:
         return Model([], np.zeros((GRAMS * BUCKETS, 0), dtype=np.float32))
-    sets = [presence(text) for text, _ in samples]
+    sets = [own for own, _ in samples]
     each = max(LEAST_LANDMARKS, LANDMARKS // len(languages))
     chosen = [k for lang in languages for k in [k for k, (_, own) in enumerate(samples) if own == lang][:each]]
     landmarks = _dense([sets[k] for k in chosen])
@@ -97,23 +97,39 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[floa
     return langs, scores
 
 
-def sample_by_class(rows: DataFrame, label: str, per_class: int, total: int, least: int = 1) -> DataFrame:
-    """About per_class rows of each class, at most about `total` or `least` a class, chosen by the hash of doc_id."""
+def sample_by_class(rows: DataFrame, label: str, per_class: int, total: int, least: int = 1, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """About per_class rows of each class, at most about `total` or `least` a class, chosen by the hash of `by`."""
     counts = rows.groupBy(label).agg(F.count("*").alias("n")).collect()
     each = max(least, min(per_class, total // max(1, len(counts))))
     share = {r[label]: min(1.0, each / r["n"]) for r in counts}
     if not share:
         return rows.limit(0)
     limits = F.create_map(*[F.lit(x) for pair in ((k, int(v * (1 << 30))) for k, v in share.items()) for x in pair])
-    return rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < F.coalesce(limits[F.col(label)], F.lit(-1)))
+    return rows.filter(F.pmod(F.xxhash64(*by, F.lit("sample")), F.lit(1 << 30)) < F.coalesce(limits[F.col(label)], F.lit(-1)))
+
+
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for text in batch.column("text").to_pylist():
+            bits = np.zeros(GRAMS * BUCKETS, dtype=bool)
+            if _LETTER.search(text):
+                bits[presence(text)] = True
+            rows.append(np.packbits(bits).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(rows, pa.binary())], names=["doc_id", "lang", "runs"])
 
 
 def train(docs: DataFrame, where: Column) -> Model:
-    """Fit on a bounded sample of the documents `where` holds whose text and lang are not null."""
+    """Fit on a bounded sample of the documents `where` holds whose text and lang are not null.
+
+    Rows alike in doc_id, text and lang are one. Of a text the driver gets GRAMS * BUCKETS bits, however long it is.
+    """
     rows = docs.filter(where & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    found = sample_by_class(rows, "lang", PER_LANGUAGE, SAMPLE, LEAST_SAMPLE).collect()
-    found.sort(key=lambda r: (r["lang"], r["doc_id"] * 0x9E3779B1 % (1 << 32), r["text"]))
-    return fit([(r["text"], r["lang"]) for r in found if _LETTER.search(r["text"])])
+    sample = sample_by_class(rows, "lang", PER_LANGUAGE, SAMPLE, LEAST_SAMPLE, ("doc_id", "text"))
+    found = sample.dropDuplicates().mapInArrow(_bitmaps, "doc_id long, lang string, runs binary").collect()
+    found.sort(key=lambda r: (r["lang"], r["doc_id"] * 0x9E3779B1 % (1 << 32), r["runs"]))
+    sets = [(np.flatnonzero(np.unpackbits(np.frombuffer(r["runs"], dtype=np.uint8))), r["lang"]) for r in found]
+    return fit([(own, lang) for own, lang in sets if len(own)])
 
 
 def _score(shared):

@@ -3,7 +3,8 @@
 Two zstandard dictionaries are trained, on good and on bad labelled texts. A text is compressed with either, in blocks
 of BLOCK bytes so that the dictionary and not the text's own past decides; the difference of the two sizes over the
 text's length is the measure, which a logistic curve, fitted on labelled texts that the dictionaries have not seen,
-turns into a probability.
+turns into a probability. The labelled texts are a sample of bounded size; each counts for as many as it stands for, so
+that the classes keep their shares. Tasks cut and measure them: the driver gets blocks and measures, no whole texts.
 """
 
 from __future__ import annotations
@@ -20,25 +21,30 @@ from pyspark.sql import functions as F
 from convspark.llm.common import crc_mod, only, utf8
 from convspark.llm.langid import sample_by_class
 
-#: Labelled texts of either class that are fitted on; every text is scored whole.
+#: Labelled texts of either class that are fitted on, half of them for the dictionaries; every text is scored whole.
 PER_CLASS = 2000
-BLOCK, DICTIONARY, LEVEL = 512, 1 << 16, 1
-#: Blocks of one text that a dictionary is trained on, so that no text fills it.
+BLOCK, DICTIONARY, LEVEL = 512, 1 << 16, 3
+#: Blocks of one text that a dictionary is trained on, spread evenly over it, so that no text fills it.
 BLOCKS_OF_ONE = 40
 
 
 class Model(NamedTuple):
     bad: bytes
     good: bytes
-    curve: tuple[float, float, float]  # of 1, the measure and the logarithm of the length
+    curve: tuple[float, float]  # of 1 and the measure
 
 
 def blocks(text: bytes) -> list[bytes]:
     return [text[i : i + BLOCK] for i in range(0, len(text), BLOCK)]
 
 
-def _dictionary(texts: list[bytes]) -> bytes:
-    parts = [b for t in texts for b in blocks(t)[:BLOCKS_OF_ONE]]
+def spread(text: bytes) -> list[bytes]:
+    """At most BLOCKS_OF_ONE of a text's blocks, from all of it."""
+    own = blocks(text)
+    return [own[k] for k in np.unique(np.linspace(0, len(own) - 1, BLOCKS_OF_ONE).astype(int))] if own else []
+
+
+def _dictionary(parts: list[bytes]) -> bytes:
     try:
         return zstandard.train_dictionary(DICTIONARY, parts).as_bytes()
     except (zstandard.ZstdError, ValueError):  # too few samples to choose from: they are the dictionary
@@ -53,39 +59,59 @@ def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=False, write_dict_id=False)
 
 
-def measures(text: bytes, bad, good) -> tuple[float, float, float]:
-    parts = blocks(text)
-    return 1.0, sum(len(bad.compress(p)) - len(good.compress(p)) for p in parts) / max(1, len(text)), float(np.log1p(len(text)))
+def measure(text: bytes, bad, good) -> float:
+    return sum(len(bad.compress(p)) - len(good.compress(p)) for p in blocks(text)) / max(1, len(text))
 
 
-def _curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic regression by Newton's method with a small ridge."""
-    w, ridge = np.zeros(x.shape[1]), np.diag([1e-6, 1e-4, 1e-2])
+def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weighted logistic regression by Newton's method with a small ridge."""
+    w, ridge = np.zeros(x.shape[1]), np.diag([1e-6, 1e-4])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w = w - np.linalg.solve((x.T * (p * (1 - p))) @ x + ridge + 1e-9 * np.eye(len(w)), x.T @ (p - y) + ridge @ w)
+        w = w - np.linalg.solve((x.T * (weight * p * (1 - p))) @ x + ridge + 1e-9 * np.eye(len(w)), x.T @ (weight * (p - y)) + ridge @ w)
     return w
 
 
-def fit(rows: list[tuple[bytes, int]]) -> Model:
-    """From (text, quality) rows. With one class only, or none, every score is that class's smoothed share."""
-    by = {q: [t for t, own in rows if own == q] for q in (0, 1)}
-    if not (len(by[0]) > 1 and len(by[1]) > 1):
-        return Model(b"", b"", (float(np.log((len(by[1]) + 1) / (len(by[0]) + 1))), 0.0, 0.0))
-    bad, good = (_dictionary(by[q][::2]) for q in (0, 1))
-    tools = compressor(bad), compressor(good)
-    rest = [(t, q) for q in (0, 1) for t in by[q][1::2]]
-    x, y = np.array([measures(t, *tools) for t, _ in rest]), np.array([q for _, q in rest], dtype=float)
-    return Model(bad, good, tuple(map(float, _curve(x, y))))
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        parts = [spread(t) for t in utf8(batch.column("text"))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(parts, pa.list_(pa.binary()))], names=["doc_id", "quality", "parts"])
+
+
+def _measured(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tools = [compressor(d) for d in shared.value]
+        for batch in batches:
+            found = [measure(t, *tools) for t in utf8(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(found, pa.float64())], names=["doc_id", "quality", "measure"])
+
+    return run
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on a bounded sample of labels: doc_id, quality (0 or 1), the rows with null left out."""
-    rows = only(labels, "doc_id", "quality").filter("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
-    chosen = sample_by_class(rows, "quality", PER_CLASS, 2 * PER_CLASS)
-    texts = docs.filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").collect()
-    texts.sort(key=lambda r: (r["doc_id"] * 0x9E3779B1 % (1 << 32), r["quality"], r["text"]))
-    return fit([(r["text"].encode(), r["quality"]) for r in texts])
+    """Fit on a bounded sample of labels: doc_id, quality (0 or 1), the rows with null left out.
+
+    A row of labels counts once for each quality of its doc_id. With one class only, or none, every score is that
+    class's smoothed share.
+    """
+    rows = only(labels, "doc_id", "quality").filter("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    seen = {r["quality"]: r["n"] for r in rows.groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    if len(seen) < 2:
+        return Model(b"", b"", (float(np.log((seen.get(1, 0) + 1) / (seen.get(0, 0) + 1))), 0.0))
+    chosen = sample_by_class(rows, "quality", PER_CLASS, 2 * PER_CLASS).distinct()
+    texts = docs.filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").dropDuplicates(["doc_id", "text", "quality"])
+    first = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 0
+    place = lambda r: (r["doc_id"] * 0x9E3779B1 % (1 << 32), r["quality"], r[2])
+    parts = sorted(texts.filter(first).mapInArrow(_cut, "doc_id long, quality int, parts array<binary>").collect(), key=place)
+    bad, good = (_dictionary([bytes(b) for r in parts if r["quality"] == q for b in r["parts"]]) for q in (0, 1))
+    shared = docs.sparkSession.sparkContext.broadcast((bad, good))
+    found = sorted(texts.filter(~first).mapInArrow(_measured(shared), "doc_id long, quality int, measure double").collect(), key=place)
+    y = np.array([r["quality"] for r in found], dtype=float)
+    if not 0 < y.sum() < len(y):
+        return Model(bad, good, (float(np.log((seen[1] + 1) / (seen[0] + 1))), 0.0))
+    weight = np.where(y == 1, seen[1] / y.sum(), seen[0] / (len(y) - y.sum())) * len(y) / sum(seen.values())
+    x = np.array([(1.0, r["measure"]) for r in found])
+    return Model(bad, good, tuple(map(float, _curve(x, y, weight))))
 
 
 def _score(shared):
@@ -93,8 +119,8 @@ def _score(shared):
         model: Model = shared.value
         tools = compressor(model.bad), compressor(model.good)
         for batch in batches:
-            x = np.array([measures(t, *tools) for t in utf8(batch.column("text"))]).reshape(-1, 3)
-            score = 1 / (1 + np.exp(-np.clip(x @ np.array(model.curve), -30, 30)))
+            x = np.array([measure(t, *tools) for t in utf8(batch.column("text"))])
+            score = 1 / (1 + np.exp(-np.clip(model.curve[0] + model.curve[1] * x, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return run

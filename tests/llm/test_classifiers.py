@@ -37,13 +37,37 @@ def test_language(spark):
 def test_folded_matrix_is_the_kernel_machine():
     rng = random.Random(8)
     samples = [(text(rng, lang, 20), lang) for lang in SYLLABLES for _ in range(12)]
-    model = langid.fit(samples)
-    query = text(rng, "yy", 25)
     sets = [langid.presence(t) for t, _ in samples]
+    model = langid.fit([(own, lang) for own, (_, lang) in zip(sets, samples, strict=True)])
+    query = text(rng, "yy", 25)
     own = langid.presence(query)
     k = np.array([len(np.intersect1d(own, s)) / np.sqrt(len(own) * len(s)) for s in sets])
     assert np.allclose(langid._dense([own]) @ langid._dense(sets).T, k, atol=1e-5)
     assert langid.predict(model, [query])[0] == ["yy"]
+    # all 36 texts are landmarks: the plain machine solves for a coefficient of each in the Nystroem features
+    gram = np.array([[len(np.intersect1d(a, b)) / np.sqrt(len(a) * len(b)) for b in sets] for a in sets])
+    values, vectors = np.linalg.eigh(gram)
+    half = vectors @ np.diag(values**-0.5) @ vectors.T
+    features, target = gram @ half, np.array([[1.0 if own == lang else -1.0 for lang in model.languages] for _, own in samples])
+    coefficients = np.linalg.solve(features.T @ features + langid.RIDGE * np.eye(36), features.T @ target)
+    assert np.allclose(langid._dense([own]) @ model.weights, k @ half @ coefficients, atol=1e-3)
+
+
+def test_bounds_of_samples(spark, monkeypatch):
+    """With tiny samples the same languages and qualities come out, and the classes keep their shares."""
+    rng = random.Random(2)
+    rows = [(i, text(rng, lang, 30), lang) for i, lang in enumerate(rng.choices(list(SYLLABLES), k=600))]
+    monkeypatch.setattr(langid, "SAMPLE", 60)
+    monkeypatch.setattr(langid, "LEAST_SAMPLE", 20)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs).collect()}
+    assert np.mean([got[i] == lang for i, _, lang in rows]) > 0.97
+    # a third of the good texts look bad, so that shares matter
+    marks = [(i, int(rng.random() < 0.9), 0) for i in range(3000)]
+    texts = [(i, text(rng, "xx" if q and rng.random() < 0.67 else "yy", 20), "s") for i, q, _ in marks]
+    monkeypatch.setattr(quality, "PER_CLASS", 150)
+    scores = quality.score(spark.createDataFrame(texts, "doc_id long, text string, s string"), spark.createDataFrame(marks, "doc_id long, quality int, s int")).collect()
+    assert abs(np.mean([r.score for r in scores]) - np.mean([q for _, q, _ in marks])) < 0.05
 
 
 def test_quality(spark):
