@@ -2,8 +2,8 @@
 
 A test item of m code points allows m // PER_ERROR errors. Cut into one piece more than that, at least one piece of any
 match is intact. An Aho-Corasick automaton finds exact pieces in whole documents; the stretch around each hit, unless it
-lacks too many of the item's short runs to match, is verified with Myers' bit-parallel edit distance. Test items are read in blocks of bounded size, each broadcast once and
-run against all documents.
+lacks too many of the item's short runs to match, is verified with Myers' bit-parallel edit distance. Test items are
+read in blocks of bounded size, each broadcast once and run against all documents.
 """
 
 from __future__ import annotations
@@ -70,6 +70,17 @@ def grams(text: str) -> list[str]:
     return [text[i : i + GRAM] for i in range(len(text) - GRAM + 1)]
 
 
+def lacks(parts: list[str], stretch: str, most: int) -> bool:
+    """Whether more than `most` of the parts are missing."""
+    missing = 0
+    for part in parts:
+        if part not in stretch:
+            missing += 1
+            if missing > most:
+                return True
+    return False
+
+
 def _automaton(items: list[tuple[int, str]]) -> tuple:
     """The automaton of all pieces; for each item its text, errors and masks."""
     import ahocorasick
@@ -78,7 +89,8 @@ def _automaton(items: list[tuple[int, str]]) -> tuple:
     table = []
     for k, (item_id, text) in enumerate(items):
         errors = len(text) // PER_ERROR
-        table.append((item_id, text, errors, bit_masks(text), grams(text)))
+        apart = [text[i : i + GRAM] for i in range(0, len(text) - GRAM + 1, GRAM)]
+        table.append((item_id, text, errors, bit_masks(text), grams(text), apart))
         for at, piece in split_item(text, errors):
             pieces.setdefault(piece, []).append((k, at))
     automaton = ahocorasick.Automaton()
@@ -96,7 +108,7 @@ def find_items(text: str, automaton, table: list[tuple]) -> list[tuple[int, int,
             begins.setdefault(k, set()).add(last + 1 - length - at)
     found = []
     for k, starts in begins.items():
-        item_id, item, errors, masks, runs = table[k]
+        item_id, item, errors, masks, runs, apart = table[k]
         whole = text.find(item)
         if errors == 0:
             while whole >= 0 and not (text[whole - 1 : whole] in ("", " ") and text[whole + len(item) : whole + len(item) + 1] in ("", " ")):
@@ -115,10 +127,11 @@ def find_items(text: str, automaton, table: list[tuple]) -> list[tuple[int, int,
             else:
                 windows.append([a, b])
         for a, b in windows:
-            near = set(grams(text[a:b]))
-            if sum(g in near for g in runs) < len(runs) - GRAM * errors:
+            stretch = text[a:b]
+            # an error changes one of the runs that lie apart, and GRAM of all
+            if lacks(apart, stretch, errors) or lacks(runs, stretch, GRAM * errors):
                 continue
-            distance, until = myers(masks, len(item), text[a:b])
+            distance, until = myers(masks, len(item), stretch)
             if distance < best:
                 best, end = distance, a + until
         if best <= errors:
