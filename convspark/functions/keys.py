@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convspark.functions.vocab import LABELS, MODEL_IDS
+from convspark.operators.numbering import with_sum_before
 
 
 def lookup(c: Column, table: Mapping) -> Column:
@@ -93,7 +94,12 @@ def build_label_vocab(df: DataFrame, label: str) -> DataFrame:
 
 def dense_ids_by_flag(df: DataFrame, key: str, flag: str, order: str) -> DataFrame:
     """Key, flag, id: from 0 for flag 1 in file order, then on for flag 0."""
-    return df.select(key, flag, (F.row_number().over(Window.orderBy(F.desc(flag), order)) - 1).cast("long").alias("id"))
+    return with_sum_before(df, [F.desc(flag), F.asc(order)], F.lit(1), "id").select(key, flag, "id")
+
+
+def seeded(seed: int, *columns: str) -> Column:
+    """A hash of the columns' texts that other engines have, too: its order is a seeded shuffle."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]))
 
 
 def encode_speaker(c: Column, scheme: Sequence[str] = ("A", "B")) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from convspark.sources.checkpoints import cut
+
 RATERS = ("p1", "p2", "p3")
 VOTED = [(a, b) for k, a in enumerate((*RATERS, "vote")) for b in (*RATERS, "vote")[k + 1 :]]
 
@@ -44,7 +46,7 @@ def _pairs(voted: DataFrame, by: Sequence[str]) -> DataFrame:
 def cohen_kappa_pairs(voted: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Pair, kappa over first labels for the raters and the vote; null where chance agreement is 1."""
     keys = [*by, "pair"]
-    cells = _pairs(voted, by).groupBy(*keys, "a", "b").agg(F.count("*").alias("k"))
+    cells = cut(_pairs(voted, by).groupBy(*keys, "a", "b").agg(F.count("*").alias("k")))  # pairs of labels, read three times
     total = Window.partitionBy(*keys)
     cells = cells.withColumns({"n": F.sum("k").over(total), "ka": F.sum("k").over(Window.partitionBy(*keys, "a")), "kb": F.sum("k").over(Window.partitionBy(*keys, "b"))})
     # the sum over labels of the products of both marginals: each label's product once, spread over its cells
@@ -69,7 +71,7 @@ def overlap_similarity_dialog(aligned: DataFrame) -> DataFrame:
 
 def decision_report(voted: DataFrame, quality: DataFrame | None = None) -> DataFrame:
     """One row a movie: kappas, undecided votes, similarities of pairs, of dialogs, and the annotators' stars."""
-    by = ["movie"]
+    by, voted = ["movie"], cut(voted.select("movie", "dialog_id", "p1", "p2", "p3", "multi", "main"))
     out = fleiss_kappa(voted, by).select("movie", F.col("kappa").alias("fleiss"))
     out = out.join(fleiss_kappa(voted, by, "Other").select("movie", F.col("kappa").alias("fleiss_no_other")), "movie", "left")
     names = [f"{a}_{b}" for a, b in VOTED]

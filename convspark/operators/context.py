@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from convspark.operators.numbering import with_sum_before
+
 
 def window_edges(utts: DataFrame, past: int, future: int) -> DataFrame:
     """G1: dialog_id, src, dst and speakers: dst lies at most `past` before or `future` after src; -1: no limit.
@@ -35,9 +37,9 @@ def typed_edges(edges: DataFrame, speakers: list[str], mode: str = "speakers") -
 
 
 def global_node_ids(utts: DataFrame, order: str = "dialog_id") -> DataFrame:
-    """dialog_id, pos, node: numbers over all dialogs in order. One row a dialog meets in the running sum."""
+    """dialog_id, pos, node: numbers over all dialogs in order. Sizes of dialogs are added up by ranges."""
     sizes = utts.groupBy(order).agg(F.count("*").alias("n"))
-    before = sizes.select(order, (F.sum("n").over(Window.orderBy(order)) - F.col("n")).alias("before"))
+    before = with_sum_before(sizes, [F.asc(order)], F.col("n"), "before").select(order, "before")
     place = F.row_number().over(Window.partitionBy(order).orderBy("pos")) - 1
     return utts.withColumn("_k", place).join(before, order).select("dialog_id", "pos", (F.col("before") + F.col("_k")).alias("node"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convspark.operators import annotation as A
+from convspark.sources.checkpoints import cut
 
 
 def movie_statistics(voted: DataFrame) -> DataFrame:
@@ -103,13 +104,14 @@ def selection_stats(clips: DataFrame) -> DataFrame:
 
 def movie_profile(utts: DataFrame) -> DataFrame:
     """Long table movie, what, key, n: turns, utterances, labels and the four kinds of transition."""
+    utts = cut(utts.select("movie", "dialog_id", "pos", "speaker", "main"))  # read four times below
     counts = A.dialog_turn_counts(utts, ["movie"])
     out = counts.select("movie", F.inline(F.array(*[F.struct(F.lit("count").alias("what"), F.lit(c).alias("key"), F.col(c).alias("n")) for c in ("n_dialogs", "n_turns", "n_utts")])))
     out = out.union(utts.groupBy("movie", F.lit("label").alias("what"), F.col("main").alias("key")).agg(F.count("*").alias("n")))
     for name, moves in (("turn", turn_transitions(utts)), ("within", within_turn_transitions(utts))):
         counted = transition_counts(moves, ["movie", "kind"])
         out = out.union(counted.select("movie", F.concat(F.lit(f"{name}_"), F.col("kind")), "move", "n"))
-    return out
+    return cut(out)  # some hundred rows a movie, for several uses
 
 
 def profile_maps(profile: DataFrame) -> DataFrame:

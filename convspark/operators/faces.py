@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from convspark.functions import keys as K
 from convspark.functions import vectors as V
 from convspark.sources.checkpoints import cut
 
@@ -79,15 +80,15 @@ def best_match(sims: DataFrame, score: Column) -> DataFrame:
     return sims.groupBy("dialog", "frame", "speaker").agg(F.max_by("face_idx", F.struct(score, -F.col("face_idx"))).alias("face_idx"))
 
 
-def link_faces(faces: DataFrame, matches: DataFrame, active: DataFrame, assigned: DataFrame, anchors: DataFrame, seed: int = 0) -> DataFrame:
+def link_faces(faces: DataFrame, matches: DataFrame, assigned: DataFrame, anchors: DataFrame, seed: int = 0) -> DataFrame:
     """dialog, frame, utt, speaker, face_idx, case for every frame with faces and a speaker.
 
     In turn: the only face; the active one; where all active faces of the utterance have one index, that face if its
     mean similarity to the speaker's anchors is over 0.6, else the other; the face most like the speaker's anchors;
-    the one least like the other speaker's; one by a seeded hash.
+    the one least like the other speaker's; one by a seeded hash. matches and assigned are read several times.
     """
     frames = faces.groupBy("dialog", "frame").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("face_idx")).alias("ids")).join(assigned, ["dialog", "frame"])
-    sims = mean_similarity(faces, anchors)
+    sims = cut(mean_similarity(faces, anchors))
     own = best_match(sims, F.round("sim", 9)).withColumnRenamed("face_idx", "own_face")
     worst = best_match(sims, -F.round("sim", 9)).select("dialog", "frame", F.col("speaker").alias("other"), F.col("face_idx").alias("other_face"))
     usual = matches.join(assigned, ["dialog", "frame"]).groupBy("dialog", "utt").agg(F.min("face_idx").alias("usual"), F.max("face_idx").alias("_max")).filter("usual = _max").drop("_max")
@@ -97,7 +98,7 @@ def link_faces(faces: DataFrame, matches: DataFrame, active: DataFrame, assigned
     others = worst.groupBy("dialog", "frame").agg(F.collect_list(F.struct("other", "other_face")).alias("others"))
     rows = rows.join(others, ["dialog", "frame"], "left").withColumn("other_face", F.get(F.filter("others", lambda o: o["other"] != F.col("speaker")), F.lit(0))["other_face"])
     rest = F.get(F.filter("ids", lambda i: i != F.col("usual")), F.lit(0))
-    chance = F.get("ids", F.pmod(F.xxhash64("dialog", "frame", F.lit(seed)), F.size("ids")).cast("int"))
+    chance = F.get("ids", F.pmod(F.conv(F.substring(K.seeded(seed, "dialog", "frame"), 1, 8), 16, 10).cast("long"), F.size("ids")).cast("int"))
     steps = [
         ("single", F.col("n") == 1, F.get("ids", F.lit(0))),
         ("active", F.col("active_face").isNotNull(), F.col("active_face")),

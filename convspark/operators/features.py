@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convspark.functions import vectors as V
+from convspark.functions.keys import seeded
+from convspark.operators.numbering import with_sum_before
 
 
 def column_stats(vectors: DataFrame, v: str, by: Sequence[str] = ()) -> DataFrame:
@@ -15,9 +17,19 @@ def column_stats(vectors: DataFrame, v: str, by: Sequence[str] = ()) -> DataFram
     return vectors.select(*by, F.posexplode(v).alias("dim", "x")).groupBy(*by, "dim").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
 
 
-def fit_standardizer(train: DataFrame, ft: str, every_nth: int = 4) -> DataFrame:
-    """V7: one row mean, std (arrays) over every nth step of each training matrix; a deviation of 0 becomes 1."""
-    steps = train.select(F.posexplode(ft).alias("step", "row")).filter(F.col("step") % every_nth == 0)
+def fit_standardizer(train: DataFrame, ft: str, order: str, every_nth: int = 4) -> DataFrame:
+    """V7: one row mean, std (arrays) over one in every_nth steps; a deviation of 0 becomes 1.
+
+    The steps are places j (n - 1) div (k - 1), j from 0, k = n div every_nth, of the n steps of all training matrices
+    joined end to end in the order of `order`.
+    """
+    sized = with_sum_before(train.select(order, ft).withColumn("_k", F.size(ft)), [F.asc(order)], F.col("_k"), "_before")
+    n = sized.agg(F.sum("_k")).first()[0] or 0
+    k = max(1, n // every_nth)
+    at = (F.col("_before") + F.col("step")).cast("long")
+    j = F.expr(f"((_before + step) * {k - 1} + {max(n - 2, 0)}) div {max(n - 1, 1)}")
+    rows = sized.select("_before", F.posexplode(ft).alias("step", "row"))
+    steps = rows.filter(F.expr(f"{k} > 1") & (F.floor(j * F.lit(n - 1) / F.lit(max(k - 1, 1))) == at) | (F.lit(k) == 1) & (at == 0))
     stats = column_stats(steps.select(V.doubles(F.col("row")).alias("row")), "row")
     std = F.when(F.col("std") == 0, 1.0).otherwise(F.col("std"))
     rows = stats.agg(F.array_sort(F.collect_list(F.struct("dim", "mean", std.alias("std")))).alias("s"))  # one entry a dimension
@@ -61,9 +73,9 @@ def pack_dialogs(utts: DataFrame, features: DataFrame, key: str, fields: Sequenc
 def batch_and_pad(packs: DataFrame, turns: str, order: str, batch_size: int, pad: Column, drop_last: bool = False) -> DataFrame:
     """Batch, and each dialog padded to the longest of its batch; batches are consecutive dialogs.
 
-    Dialogs are numbered over (order, length) alone; their content is joined back, so the running number sees ids only.
+    Dialogs are numbered over (order, length) alone; their content is joined back, so the running number, added up by ranges, sees ids only.
     """
-    numbers = packs.select(order, F.size(turns).alias("_n")).withColumn("batch", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / batch_size))
+    numbers = with_sum_before(packs.select(order, F.size(turns).alias("_n")), [F.asc(order)], F.lit(1), "_at").withColumn("batch", F.floor(F.col("_at") / batch_size)).drop("_at")
     w = Window.partitionBy("batch")
     numbers = numbers.withColumns({"longest": F.max("_n").over(w), "_k": F.count("*").over(w)})
     if drop_last:
@@ -87,4 +99,4 @@ def drop_missing_keys(dialogs: DataFrame, sentences: DataFrame, key: str) -> Dat
 
 def shuffle_rows(df: DataFrame, key: str, seed: int) -> DataFrame:
     """Rows in the order of a seeded hash."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key)
+    return df.orderBy(seeded(seed, key), key)

@@ -12,8 +12,8 @@ from convspark.operators.annotation import dialog_turn_counts
 
 
 def check_speaker_domain(utts: DataFrame, speakers: Sequence[str] = SPEAKERS) -> DataFrame:
-    """Q1"""
-    return utts.filter(~F.col("speaker").isin(*speakers)).select("utt_id", "speaker")
+    """Q1; a null speaker is none of them."""
+    return utts.filter(~F.coalesce(F.col("speaker").isin(*speakers), F.lit(False))).select("utt_id", "speaker")
 
 
 def check_first_speaker(utts: DataFrame, speaker: str = "A") -> DataFrame:
@@ -47,7 +47,7 @@ def check_first_label_present(sheet: DataFrame, cell: str = "cell") -> DataFrame
 
 def check_label_vocab(sheet: DataFrame, vocabulary: Sequence[str] = LABELS) -> DataFrame:
     """Q6: label and times of labels that the vocabulary lacks."""
-    return sheet.select(F.explode("labels").alias("label")).filter(~F.col("label").isin(*vocabulary)).groupBy("label").agg(F.count("*").alias("times"))
+    return sheet.select(F.explode("labels").alias("label")).filter(~F.coalesce(F.col("label").isin(*vocabulary), F.lit(False))).groupBy("label").agg(F.count("*").alias("times"))
 
 
 def check_two_speakers(utts: DataFrame) -> DataFrame:

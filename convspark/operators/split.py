@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from convspark.functions.keys import seeded
 from convspark.operators.corpus import share_of_total, subset_profile
 
 
@@ -20,7 +21,7 @@ def _sets(rank: Column, sizes: dict[str, int]) -> Column:
 
 def group_split(groups: DataFrame, sizes: dict[str, int], seed: int = 0, key: str = "movie") -> DataFrame:
     """Key, set_name: groups dealt to sets of fixed sizes in the order of a seeded hash."""
-    rank = F.row_number().over(Window.orderBy(F.xxhash64(key, F.lit(seed)), key))
+    rank = F.row_number().over(Window.orderBy(seeded(seed, key), key))
     return groups.select(key).distinct().select(key, rank.alias("_r")).select(key, _sets(F.col("_r"), sizes).alias("set_name")).filter("set_name IS NOT NULL")
 
 
@@ -34,7 +35,7 @@ def search_split(profile: DataFrame, sizes: dict[str, int], n_seeds: int) -> Dat
     """C17: seed and deviation of the seeded split whose sets' shares of labels are nearest to their shares of groups."""
     seeds = profile.sparkSession.range(n_seeds).withColumnRenamed("id", "seed")
     dealt = profile.select("movie").distinct().crossJoin(F.broadcast(seeds))
-    rank = F.row_number().over(Window.partitionBy("seed").orderBy(F.xxhash64("movie", "seed"), "movie"))
+    rank = F.row_number().over(Window.partitionBy("seed").orderBy(F.md5(F.concat_ws(":", F.col("seed").cast("string"), "movie")), "movie"))
     dealt = dealt.select("seed", "movie", rank.alias("_r")).select("seed", "movie", _sets(F.col("_r"), sizes).alias("set_name")).filter("set_name IS NOT NULL")
     labels = profile.filter("what = 'label'")
     total = labels.groupBy("key").agg(F.sum("n").alias("all_n"))

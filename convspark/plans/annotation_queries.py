@@ -113,7 +113,7 @@ select("K17_argmax", f"SELECT utt_id, list_position({_LIST}, list_max({_LIST}))
 # checks
 
 
-@query("Q1_check_speaker_domain", f"{CONV} SELECT dialog_id || '_' || CAST(pos AS STRING) AS utt_id, speaker FROM conv WHERE speaker NOT IN ('user', 'assistant')")
+@query("Q1_check_speaker_domain", f"{CONV} SELECT dialog_id || '_' || CAST(pos AS STRING) AS utt_id, speaker FROM conv WHERE speaker IS NULL OR speaker NOT IN ('user', 'assistant')")
 def q1(spark, d):
     return Q.check_speaker_domain(fixture(spark, d, "conv").withColumn("utt_id", F.concat_ws("_", "dialog_id", "pos")), ["user", "assistant"])
 
@@ -135,12 +135,13 @@ def q4(spark, d):
     return Q.check_annotators_aligned(kept)
 
 
-@query("Q5_check_first_label_present", f"{ANN} SELECT 1 AS annotator, dialog_id FROM ann WHERE pos = 4 AND l1 IS NULL UNION ALL SELECT 2, dialog_id FROM ann WHERE pos = 4 AND l2 IS NULL UNION ALL SELECT 3, dialog_id FROM ann WHERE pos = 4 AND l3 IS NULL")
+@query("Q5_check_first_label_present", f"{ANN} SELECT k AS annotator, dialog_id FROM ann, (SELECT unnest([1, 2, 3]) AS k) WHERE pos = 1 AND event_id % (k + 8) = 0")
 def q5(spark, d):
-    return Q.check_first_label_present(sheets(ann(spark, d)).filter("pos >= 4"))
+    lacking = {f"l{k}": F.when(c("event_id") % (k + 8) != 0, c(f"l{k}")) for k in (1, 2, 3)}
+    return Q.check_first_label_present(sheets(ann(spark, d).withColumns(lacking)))
 
 
-@query("Q6_check_label_vocab", f"{ANN} SELECT label, count(*) AS times FROM (SELECT unnest({STRIPPED.format('l1')}) AS label FROM ann UNION ALL SELECT unnest({STRIPPED.format('l2')}) FROM ann UNION ALL SELECT unnest({STRIPPED.format('l3')}) FROM ann) WHERE label NOT IN ('Happy', 'Neutral', 'Sad') GROUP BY 1")
+@query("Q6_check_label_vocab", f"{ANN} SELECT label, count(*) AS times FROM (SELECT unnest({STRIPPED.format('l1')}) AS label FROM ann UNION ALL SELECT unnest({STRIPPED.format('l2')}) FROM ann UNION ALL SELECT unnest({STRIPPED.format('l3')}) FROM ann) WHERE label IS NULL OR label NOT IN ('Happy', 'Neutral', 'Sad') GROUP BY 1")
 def q6(spark, d):
     return Q.check_label_vocab(A.sheet_labels(sheets(ann(spark, d))), LABELS[:3])
 

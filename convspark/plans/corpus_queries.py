@@ -107,7 +107,10 @@ def c14(spark, d):
     return C.share_of_total(C.subset_profile(profile, fixture(spark, d, "movie_set").filter("set_name = 'val'")), total)
 
 
-@query("C15_group_split")
+RANGES = "CASE WHEN r <= 7 THEN 'train' WHEN r <= 8 THEN 'val' WHEN r <= 10 THEN 'test' END"
+
+
+@query("C15_group_split", f"{ANN} SELECT movie, {RANGES} AS set_name FROM (SELECT movie, row_number() OVER (ORDER BY md5('7:' || movie), movie) AS r FROM (SELECT DISTINCT movie FROM ann)) WHERE r <= 10")
 def c15(spark, d):
     return S.group_split(ann(spark, d), SIZES, seed=7)
 
@@ -117,7 +120,13 @@ def c16(spark, d):
     return S.split_balance(C.movie_profile(voted(spark, d)), fixture(spark, d, "movie_set"))
 
 
-@query("C17_search_split")
+SEARCH = f"""{PROFILE}, dl AS (SELECT seed, movie, {RANGES} AS set_name FROM
+(SELECT seed, movie, row_number() OVER (PARTITION BY seed ORDER BY md5(CAST(seed AS STRING) || ':' || movie), movie) AS r FROM (SELECT DISTINCT movie FROM prof), (SELECT unnest(range(50)) AS seed)) WHERE r <= 10),
+lb AS (SELECT movie, key, n FROM prof WHERE what = 'label'), tot AS (SELECT key, sum(n) AS a FROM lb GROUP BY 1), sh AS (SELECT seed, set_name, key, sum(n) AS n FROM lb JOIN dl USING (movie) GROUP BY 1, 2, 3),
+dv AS (SELECT seed, round(sum(abs(n / a - CASE set_name WHEN 'train' THEN 0.7::DOUBLE WHEN 'val' THEN 0.1::DOUBLE ELSE 0.2::DOUBLE END)), 6) AS deviation FROM sh JOIN tot USING (key) GROUP BY 1)"""
+
+
+@query("C17_search_split", f"{SEARCH} SELECT seed, deviation FROM dv ORDER BY deviation, seed LIMIT 1")
 def c17(spark, d):
     return S.search_split(C.movie_profile(voted(spark, d)), SIZES, 50)
 

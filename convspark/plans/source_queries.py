@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -15,13 +14,13 @@ from convspark.plans.evaluation_queries import METRICS, PREDS, conv, metrics
 from convspark.plans.registry import query
 from convspark.sources import files as S
 from convspark.sources import upkeep as U
+from convspark.sources.checkpoints import shared_folder
 
 c = F.col
 
 
 def place(spark) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-files-")
-    return f"{folder}/files-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
 
 
 @query("S1_read_meta_csv", f"{VOTED} SELECT utt_id, start_tc, text, main, pos FROM voted")
@@ -42,14 +41,13 @@ def s2(spark, d):
 def s3(spark, d):
     path = place(spark)
     S.write_json(transition_counts(turn_transitions(voted(spark, d)), []), path)
-    # Spark writes a document a line
-    return spark.read.schema("move string, n long").json(path)
+    return S.read_json(spark, path, "move string, n long", lines=True)
 
 
-@query("S4_read_lines", f"{CONV} SELECT trim(text, ' ' || chr(9)) AS line, count(*) AS n FROM conv WHERE text NOT LIKE '%' || chr(10) || '%' GROUP BY 1")
+@query("S4_read_lines", f"{CONV} SELECT trim(line, ' ' || chr(9)) AS line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM conv) GROUP BY 1")
 def s4(spark, d):
     path = place(spark)
-    conv(spark, d).filter(~c("text").contains("\n")).select(F.concat(F.lit("  "), "text", F.lit("\t"))).write.text(path)
+    conv(spark, d).select(F.concat(F.lit("  "), "text", F.lit("\t"))).write.text(path)
     return S.read_lines(spark, path).groupBy("line").agg(F.count("*").alias("n"))
 
 
@@ -73,11 +71,11 @@ def s6(spark, d):
     return U.export_training_text(labels, rows.select("utt_id", c("text").alias("sentence")), "utt_id")
 
 
-@query("S7_export_media_manifest", f"{ANN} SELECT utt_id, CASE WHEN event_id % 6 > 0 THEN utt_id || '.wav' END AS path, event_id % 6 = 0 AS missing FROM ann WHERE movie = 'm1'")
+@query("S7_export_media_manifest", f"{ANN} SELECT utt_id, CASE WHEN event_id % 6 > 0 THEN utt_id || '.wav' END AS path, event_id % 6 = 0 AS missing FROM ann")
 def s7(spark, d):
     rows = ann(spark, d)
     media = rows.filter("event_id % 6 > 0").select("utt_id", F.concat("utt_id", F.lit(".wav")).alias("path"))
-    return U.export_media_manifest(rows.filter("movie = 'm1'").select("utt_id"), media, "utt_id")
+    return U.export_media_manifest(rows.select("utt_id"), media, "utt_id")
 
 
 def subtitle_files(spark, d):
@@ -95,9 +93,9 @@ CUES = f"SELECT dialog_id, dialog_id || '_' || CAST(pos AS STRING) AS utt_id, CA
 @query("S8_parse_subtitles", f"{CONV} {CUES}")
 def s8(spark, d):
     path = place(spark)
-    subtitle_files(spark, d).repartition(8, "dialog_id").write.partitionBy("dialog_id").option("lineSep", "\u0001").text(path)
-    texts = spark.read.option("lineSep", "\u0001").text(path).select(c("dialog_id").cast("string").alias("dialog_id"), c("value").alias("text"))
-    return S.parse_cues(texts).select("dialog_id", "utt_id", "idx", "start_tc", "end_tc", "text")
+    subtitle_files(spark, d).write.partitionBy("dialog_id").text(path)
+    dialog = F.regexp_extract("_metadata.file_path", r"dialog_id=([^/]+)", 1)
+    return S.parse_subtitles(spark, path, dialog).select("dialog_id", "utt_id", "idx", "start_tc", "end_tc", "text")
 
 
 @query("S9_annotation_template", f"{CONV} SELECT utt_id, start_tc, text, CAST(NULL AS STRING) AS speaker, CAST(NULL AS STRING) AS labels FROM ({CUES})")
@@ -114,9 +112,7 @@ def s10(spark, d):
     logs = rows.select(line.alias("value"), F.concat("run", F.lit("_"), "epoch").alias("log"))
     other = rows.select(F.concat(F.lit("epoch "), c("epoch").cast("string")).alias("value"), F.concat("run", F.lit("_"), "epoch").alias("log"))
     logs.union(other).repartition("log").write.partitionBy("log").text(path)
-    got = S.parse_logs(S.read_lines(spark, path).withColumn("path", F.regexp_extract("path", r"log=([^/]+)", 1)))
-    pair = got.groupBy("path").agg(F.count("*").alias("k")).filter("k = 2")
-    return got.join(pair, "path", "left_semi").groupBy("part").agg(F.count("*").alias("n"), F.round(F.sum("wa"), 4).alias("wa"))
+    return S.parse_run_logs(spark, path).groupBy("part").agg(F.count("*").alias("n"), F.round(F.sum("wa"), 4).alias("wa"))
 
 
 @query("S11_upsert_by_key", "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'new' ELSE 'old' END AS v FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 5 = 0")

@@ -12,6 +12,7 @@ from convspark.plans.annotation_queries import ANN, ann
 from convspark.plans.evaluation_queries import conv, rounded
 from convspark.plans.fixtures import TABLES, fixture, with_sql
 from convspark.plans.registry import query
+from convspark.sources.checkpoints import cut
 
 c = F.col
 EMB = "WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT *, list_transform(range(8), lambda i: v[i * 8 + 1 : i * 8 + 8]) AS m FROM e)"
@@ -50,19 +51,19 @@ vector("V9_zscore_rowwise", lambda: V.zscore(c("v")), "list_transform(v, lambda
 vector("V10_scale", lambda: F.concat(V.scale_minmax(c("v"), 0, 2), V.scale_by(c("v"), 4.0)), "list_concat(list_transform(v, lambda x: (x - list_min(v)) / (list_max(v) - list_min(v)) * 2), list_transform(v, lambda x: x / 4))")
 vector("V16_fuse_modalities", lambda: V.fuse(c("v"), V.pool_first(c("m")), F.array(c("vec_id").cast("double"))), "list_concat(list_concat(v, m[1]), [CAST(vec_id AS DOUBLE)])")
 
-STATS = "st AS (SELECT dim, avg(x) AS mean, CASE WHEN stddev_pop(x) = 0 THEN 1 ELSE stddev_pop(x) END AS sd FROM (SELECT unnest(r) AS x, generate_subscripts(r, 1) AS dim FROM (SELECT m[1] AS r, vec_id FROM q UNION ALL SELECT m[5], vec_id FROM q) WHERE vec_id % 5 < 4) GROUP BY 1)"
+STATS = "st AS (SELECT dim, avg(x) AS mean, CASE WHEN stddev_pop(x) = 0 THEN 1 ELSE stddev_pop(x) END AS sd FROM (SELECT unnest(r) AS x, generate_subscripts(r, 1) AS dim FROM (SELECT m[g % 8 + 1] AS r FROM (SELECT DISTINCT j * (n - 1) // (n // 4 - 1) AS g FROM (SELECT count(*) * 8 AS n FROM q WHERE vec_id % 5 < 4), LATERAL (SELECT unnest(range(n // 4)) AS j)) JOIN (SELECT m, row_number() OVER (ORDER BY vec_id) - 1 AS place FROM q WHERE vec_id % 5 < 4) ON place = g // 8)) GROUP BY 1)"
 
 
 @query("V7_fit_standardizer", f"{EMB}, {STATS} SELECT dim - 1 AS dim, round(mean, 6) AS mean, round(sd, 6) AS std FROM st")
 def v7(spark, d):
-    model = T.fit_standardizer(emb(spark, d).filter("vec_id % 5 < 4"), "m")
+    model = T.fit_standardizer(emb(spark, d).filter("vec_id % 5 < 4"), "m", "vec_id")
     return rounded(model.select(F.posexplode(F.arrays_zip("mean", "std")).alias("dim", "s")).select(c("dim").cast("long").alias("dim"), "s.mean", "s.std"), "mean", "std")
 
 
 @query("V8_apply_standardizer", f"{EMB}, {STATS}, o AS (SELECT list(mean ORDER BY dim) AS mu, list(sd ORDER BY dim) AS sd FROM st) SELECT vec_id, {sql_text('list_transform(range(1, 65), lambda i: (v[i] - mu[(i - 1) % 8 + 1]) / sd[(i - 1) % 8 + 1])')} AS out FROM q, o")
 def v8(spark, d):
     rows = emb(spark, d)
-    done = T.apply_standardizer(rows, T.fit_standardizer(rows.filter("vec_id % 5 < 4"), "m"), "m")
+    done = T.apply_standardizer(rows, T.fit_standardizer(rows.filter("vec_id % 5 < 4"), "m", "vec_id"), "m")
     return done.select("vec_id", text(F.flatten("m")).alias("out"))
 
 
@@ -183,8 +184,8 @@ def active(spark, d):
     return X.active_faces_by_speaker(matches(spark, d), assigned(spark, d))
 
 
-def anchors(spark, d):
-    return X.pick_anchors(active(spark, d)).join(face_rows(spark, d).select("dialog", "frame", "face_idx", "emb"), ["dialog", "frame", "face_idx"])
+def anchors(spark, d, faces=None):
+    return X.pick_anchors(active(spark, d) if faces is None else faces).join(face_rows(spark, d).select("dialog", "frame", "face_idx", "emb"), ["dialog", "frame", "face_idx"])
 
 
 @query("F1_speaker_timeline", f"{F_UTTS} SELECT dialog, speaker, array_to_string(list(CAST(f0 AS STRING) || '-' || CAST(f1 AS STRING) || '-' || CAST(utt AS STRING) ORDER BY f0, f1, utt), ' ') AS intervals FROM utts GROUP BY 1, 2")
@@ -249,23 +250,23 @@ def f9(spark, d):
 
 
 def links(spark, d):
-    return X.link_faces(face_rows(spark, d), matches(spark, d), active(spark, d), assigned(spark, d), anchors(spark, d))
+    met, frames = cut(matches(spark, d)), cut(assigned(spark, d))
+    return X.link_faces(face_rows(spark, d), met, frames, anchors(spark, d, X.active_faces_by_speaker(met, frames)))
 
 
 LINKS = f"""{SIMS}, r AS (SELECT *, row_number() OVER (PARTITION BY dialog, frame, speaker ORDER BY round(sim, 9) DESC, face_idx) AS b, row_number() OVER (PARTITION BY dialog, frame, speaker ORDER BY round(sim, 9), face_idx) AS w FROM sims),
 fr AS (SELECT faces.dialog, faces.frame, utt, speaker, count(*) AS n, list_sort(list(face_idx)) AS ids FROM faces JOIN asg ON faces.dialog = asg.dialog AND faces.frame = asg.frame GROUP BY 1, 2, 3, 4),
 us AS (SELECT dialog, utt, min(face_idx) AS usual FROM mt JOIN asg USING (dialog, frame) GROUP BY 1, 2 HAVING min(face_idx) = max(face_idx)),
-lk AS (SELECT fr.dialog, fr.frame, fr.utt, fr.speaker, CASE WHEN fr.n = 1 THEN ids[1] WHEN mt.face_idx IS NOT NULL THEN mt.face_idx WHEN s.sim IS NOT NULL THEN CASE WHEN s.sim > 0.6 THEN usual ELSE coalesce(list_filter(ids, lambda i: i <> usual)[1], usual) END WHEN o.face_idx IS NOT NULL THEN o.face_idx ELSE w.face_idx END AS face_idx,
+lk AS (SELECT fr.dialog, fr.frame, fr.utt, fr.speaker, CASE WHEN fr.n = 1 THEN ids[1] WHEN mt.face_idx IS NOT NULL THEN mt.face_idx WHEN s.sim IS NOT NULL THEN CASE WHEN s.sim > 0.6 THEN usual ELSE coalesce(list_filter(ids, lambda i: i <> usual)[1], usual) END WHEN o.face_idx IS NOT NULL THEN o.face_idx WHEN w.face_idx IS NOT NULL THEN w.face_idx ELSE ids[CAST('0x' || md5('0:' || CAST(fr.dialog AS STRING) || ':' || CAST(fr.frame AS STRING))[1:8] AS BIGINT) % len(ids) + 1] END AS face_idx,
 CASE WHEN fr.n = 1 THEN 'single' WHEN mt.face_idx IS NOT NULL THEN 'active' WHEN s.sim IS NOT NULL THEN 'same_utterance' WHEN o.face_idx IS NOT NULL THEN 'own' WHEN w.face_idx IS NOT NULL THEN 'other' ELSE 'random' END AS "case"
 FROM fr LEFT JOIN mt ON fr.dialog = mt.dialog AND fr.frame = mt.frame LEFT JOIN us ON fr.dialog = us.dialog AND fr.utt = us.utt
 LEFT JOIN sims s ON s.dialog = fr.dialog AND s.frame = fr.frame AND s.speaker = fr.speaker AND s.face_idx = us.usual
 LEFT JOIN r o ON o.dialog = fr.dialog AND o.frame = fr.frame AND o.speaker = fr.speaker AND o.b = 1 LEFT JOIN r w ON w.dialog = fr.dialog AND w.frame = fr.frame AND w.speaker <> fr.speaker AND w.w = 1)"""
 
 
-@query("F10_link_faces", f"{LINKS} SELECT dialog, frame, utt, speaker, \"case\", CASE WHEN \"case\" <> 'random' THEN face_idx END AS face_idx FROM lk")
+@query("F10_link_faces", f"{LINKS} SELECT dialog, frame, utt, speaker, \"case\", face_idx FROM lk")
 def f10(spark, d):
-    # the seeded choice has no counterpart in SQL
-    return links(spark, d).withColumn("face_idx", F.when(c("case") != "random", c("face_idx")))
+    return links(spark, d)
 
 
 @query("F11_link_case_counts", f"{LINKS} SELECT \"case\", count(*) AS n FROM lk GROUP BY 1")
@@ -283,9 +284,9 @@ def f13(spark, d):
     return X.clamp_boxes(detections(spark, d)).select("vec_id", F.concat_ws(",", c("bbox")[0].cast("string"), c("bbox")[2].cast("string")).alias("box"))
 
 
-@query("F14_face_density", f"{F_UTTS}, {ASSIGNED} SELECT dialog, count(DISTINCT frame) AS n_frames, count(*) AS n_faces, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM asg WHERE asg.dialog = faces.dialog AND asg.frame = faces.frame AND asg.utt % 2 = 0)) AS n_in_utterances FROM faces GROUP BY 1")
+@query("F14_face_density", f"{F_UTTS}, {ASSIGNED} SELECT dialog, count(DISTINCT frame) AS n_frames, count(*) AS n_faces, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM asg WHERE asg.dialog = faces.dialog AND asg.frame = faces.frame)) AS n_in_utterances FROM faces GROUP BY 1")
 def f14(spark, d):
-    return X.face_density(detections(spark, d), assigned(spark, d).filter("utt % 2 = 0"))
+    return X.face_density(detections(spark, d), assigned(spark, d))
 
 
 @query("F15_cluster_kmeans")

@@ -19,9 +19,9 @@ def write_meta_csv(df: DataFrame, path: str, sep: str = ";") -> None:
     df.write.mode("overwrite").option("sep", sep).option("header", True).option("escape", '"').csv(path)
 
 
-def read_json(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
-    """S3: documents that may span lines."""
-    reader = spark.read.option("multiLine", True)
+def read_json(spark: SparkSession, path: str, schema: StructType | str | None = None, lines: bool = False) -> DataFrame:
+    """S3: documents that may span lines, one list or document a file; with lines, as Spark writes them, one a line."""
+    reader = spark.read.option("multiLine", not lines)
     return (reader.schema(schema) if schema else reader).json(path)
 
 
@@ -36,8 +36,8 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_features(features: DataFrame, path: str, by: str = "movie") -> None:
-    """Parquet, a folder for each movie; rows of a movie meet in few files."""
-    features.write.mode("overwrite").partitionBy(by).parquet(path)
+    """Parquet, a folder for each movie. Rows of a movie meet in files whose number follows its size."""
+    features.hint("rebalance", F.col(by)).write.mode("overwrite").partitionBy(by).parquet(path)
 
 
 def read_features(spark: SparkSession, path: str, key: str, order: str) -> DataFrame:
@@ -48,7 +48,7 @@ def read_features(spark: SparkSession, path: str, key: str, order: str) -> DataF
 
 
 def repartition_by_group(rows: DataFrame, path: str, by: str = "movie") -> None:
-    """Split-ordered rows written by movie."""
+    """Rows in the order of splits are shuffled and written by movie."""
     write_features(rows, path, by)
 
 
