@@ -10,10 +10,11 @@ into one matrix, and a batch of texts is scored by one product of its sparse pre
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -132,17 +133,18 @@ def train(docs: DataFrame, where: Column) -> Model:
     return fit([(own, lang) for own, lang in sets if len(own)])
 
 
-def _score(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "held_out", "lang_pred", "score", "has_letter", "carried"]
-        for whole in batches:
-            for at in range(0, whole.num_rows, 128):
-                batch = whole.slice(at, 128)
-                texts = batch.column("text").to_pylist()
-                langs, scores = predict(shared.value, texts)
-                letters = [bool(t and _LETTER.search(t)) for t in texts]
-                cells = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(letters, pa.bool_())]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *cells, batch.column("carried")], names=names)
+def _predictor(shared) -> Callable[..., Column]:
+    """The prediction as a column of the text: only that goes to Python and only the prediction comes back."""
+
+    @F.pandas_udf("lang_pred string, score double, has_letter boolean")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        values, langs, scores = [t if isinstance(t, str) else None for t in texts], [], []
+        for at in range(0, len(values), 128):
+            found = predict(shared.value, values[at : at + 128])
+            langs.extend(found[0])
+            scores.extend(found[1])
+        letters = [bool(t and _LETTER.search(t)) for t in values]
+        return pd.DataFrame({"lang_pred": langs, "score": np.array(scores, dtype=float), "has_letter": np.array(letters, dtype=bool)})
 
     return run
 
@@ -155,12 +157,9 @@ def identify(docs: DataFrame, modulus: int = 4, held: int = 2, carry: tuple[str,
     learned; has_letter tells the two apart. Rows that repeat a doc_id each give a row. Columns of docs that are not
     named are not read.
     """
-    carried = F.struct(*[docs[c] for c in carry]) if carry else F.struct(F.lit(True).alias("_"))
     learned = only(docs, "doc_id", "text", "lang")
     held_out = crc_mod("doc_id", modulus) == held
     model = train(learned.withColumn("held_out", held_out), ~F.col("held_out"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(docs["doc_id"], docs["text"], carried.alias("carried")).withColumn("held_out", held_out)
-    fields = f"doc_id long, held_out boolean, lang_pred string, score double, has_letter boolean, carried {rows.schema['carried'].dataType.simpleString()}"
-    out = rows.mapInArrow(_score(shared), fields)
-    return out.select("doc_id", "held_out", "lang_pred", "score", "has_letter", *[F.col("carried")[c].alias(c) for c in carry])
+    run = _predictor(docs.sparkSession.sparkContext.broadcast(model))
+    rows = only(docs, *dict.fromkeys(("doc_id", "text", *carry))).withColumn("held_out", held_out).withColumn("_pred", run("text"))
+    return rows.select("doc_id", "held_out", "_pred.lang_pred", "_pred.score", "_pred.has_letter", *carry)
