@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from convspark.sources.checkpoints import cut, shared_folder
+
 
 _SHIPPED: set[str] = set()
 
@@ -33,17 +35,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where that is unset (tests, local runs), a new local folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
 def stored(df: DataFrame) -> DataFrame:
     """df written as Parquet in the shared folder and read again."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
@@ -51,12 +42,6 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the cluster's shared checkpoint folder and cut its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 #: A key that more than one in HOT of the rows have is joined by broadcast. There are fewer than HOT such keys.
 HOT = 500
 
@@ -74,6 +59,19 @@ def join_counted(rows: DataFrame, side: DataFrame, key: str, n: str) -> DataFram
     return rows.join(held, key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rare, key))
 
 
+#: Rows of a partition that spread makes.
+SPREAD = 10_000
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows in partitions of about SPREAD by a key without frequent values, before each becomes many.
+
+    What was aggregated is small, and Spark would leave it in a few partitions.
+    """
+    rows = cut(rows)
+    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + rows.count() // SPREAD), key)
+
+
 def crc_mod(doc_id: str, n: int) -> Column:
     """crc32 of the id written as text, modulo n."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n

@@ -2,13 +2,13 @@
 
 A 64-bit fingerprint is cut into two segments of 32 bits, so that of two fingerprints at most two bits apart one
 segment differs by at most one bit. Each segment is indexed with each of its bits left out in turn: 64 entries, of which
-two fingerprints share one exactly if a segment of theirs differs by at most one bit. Fingerprints that share an entry
-are candidates, and verified: all of their bits are compared.
+two fingerprints share one exactly if a segment of theirs differs by at most one bit. Two
+fingerprints that share an entry are candidates, and verified: all of their bits are compared.
 
-An entry that more than FEW fingerprints share, as those of a large group of near copies do, is split by the other
-segment: its fingerprints are indexed whole, as they are and with each one bit changed. Any two at most two bits apart
-share such a value (one of them, or the one half-way) and a value has at most 65 fingerprints, so that each is linked to
-the smallest. So neither entries nor pairs grow with the square of a group.
+An entry that more fingerprints share, as those of near copies do, is split by the other segment: its fingerprints are
+indexed whole, as they are and with each one bit changed. Any two at most two bits apart share such a value (one of them,
+or the one half-way) and a value has at most 65 fingerprints, so that each is linked to the smallest. So neither entries
+nor pairs grow with the square of a group.
 """
 
 from __future__ import annotations
@@ -21,11 +21,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from convspark.llm.common import cut, join_counted, only, utf8
+from convspark.llm.common import cut, join_counted, only, spread, utf8
 from convspark.llm.components import connected_components
 
-#: Fingerprints of an entry that are compared with each other.
-FEW = 64
 SLICE = 1 << 16
 #: Segment and bit left out in the upper half, the segment without that bit in the lower.
 ENTRIES = (
@@ -78,16 +76,14 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
 
 def fingerprint_links(distinct: DataFrame) -> DataFrame:
     """a, b: links that connect all fingerprints of distinct(fp) which chains of at most two changed bits connect."""
-    entries = distinct.select("fp", F.explode(F.expr(ENTRIES)).alias("entry"))
+    entries = spread(distinct.select("fp"), "fp").select("fp", F.explode(F.expr(ENTRIES)).alias("entry"))
     shared = cut(entries.groupBy("entry").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"))
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
     two = shared.filter("n = 2").select("a", "b").filter(close)
-    more = cut(join_counted(entries, shared.filter("n > 2").select("entry", "n", (F.col("n") > FEW).alias("many")), "entry", "n"))
-    members = more.filter("not many").groupBy("entry").agg(F.collect_list("fp").alias("fps"))
-    few = members.select(F.explode("fps").alias("a"), "fps").select("a", F.explode("fps").alias("b")).filter(F.col("a") < F.col("b")).filter(close)
-    whole = more.filter("many").select("fp").distinct().select("fp", F.explode(F.expr(CHANGED)).alias("value"))
-    many = whole.select(F.min("fp").over(Window.partitionBy("value")).alias("a"), F.col("fp").alias("b")).filter(F.col("a") != F.col("b")).filter(close)
-    return two.union(few).union(many).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    whole = join_counted(entries, shared.filter("n > 2").select("entry", "n"), "entry", "n").select("fp").distinct()
+    values = whole.select("fp", F.explode(F.expr(CHANGED)).alias("value"))
+    more = values.select(F.min("fp").over(Window.partitionBy("value")).alias("a"), F.col("fp").alias("b")).filter(F.col("a") != F.col("b")).filter(close)
+    return two.union(more)
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
