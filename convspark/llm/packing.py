@@ -217,13 +217,14 @@ def _place(shared):
 
 
 def assign(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The pieces with sequence_id and offset. cut_pieces: doc_id, piece, length (1 to capacity) and any others.
+    """The pieces with sequence_id and offset. cut_pieces, checkpointed: doc_id, piece, length (1 to capacity) and any others.
 
     A length's pieces are ranked in salted parts, so that a length which many pieces have is not one task's work.
     """
     spark = cut_pieces.sparkSession
     n = cut_pieces.count()
-    salted = cut_pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(1 + n // RANKED)))
+    # the row's place tells rows apart that are alike in everything; cut_pieces is materialised, so that it is always the same
+    salted = cut_pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(1 + n // RANKED)))
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = counts.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}

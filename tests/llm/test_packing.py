@@ -93,3 +93,16 @@ def test_pack(spark):
     whole = packing.packed_sequences(df).collect()
     assert len(whole) == n and sum(len(r.ids) for r in whole) == 4 * sum(r.length for r in rows)
     assert packing.pack(df.limit(0)).count() == 0
+
+
+def test_equal_rows_are_split(spark, monkeypatch):
+    """Rows alike in everything get salts of their own, and each a place of its own."""
+    monkeypatch.setattr(packing, "RANKED", 20)
+    rows = [(1, "one two three", 0)] * 300 + [(2, "one two three four", 0)] * 50 + [(None, None, 0)] * 40
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, sequence_id int"), capacity=32).collect()
+    assert len(got) == 390
+    taken = {}
+    for r in got:
+        for at in range(r.offset, r.offset + r.length):
+            assert taken.setdefault((r.sequence_id, at), r) is r
+    assert len(taken) == sum(r.length for r in got) and max(at for _, at in taken) < 32
