@@ -60,7 +60,7 @@ def join_counted(rows: DataFrame, side: DataFrame, key: str, n: str) -> DataFram
 
 
 #: Rows of a partition that spread makes.
-SPREAD = 10_000
+SPREAD = 2_000
 
 
 def spread(rows: DataFrame, key: str) -> DataFrame:
