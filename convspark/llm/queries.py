@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from convspark.llm import collocations, decontam, digest, html, langid, lines, lm, packing, quality, simhash, suffixes, whitening
+from convspark.llm import collocations, decontam, digest, html, langid, lines, lm, packing, quality, simhash, substrings, suffixes, whitening
 from convspark.llm.common import table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -107,6 +107,10 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
 """
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.kept_digest(substrings.without_repeated_windows(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html": op1_html,
@@ -121,6 +125,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_decontamination": op10_decontamination,
         "op11_whitening": op11_whitening,
         "op12_collocations": op12_collocations,
+        "op13_substring_dedup": op13_substring_dedup,
     }
 
 
