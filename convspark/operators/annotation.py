@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from convspark.functions.keys import count_stars, parse_labels
 from convspark.functions.vocab import NOT_SURE
+from convspark.operators.numbering import with_neighbours
 
 def in_dialog():
     return Window.partitionBy("dialog_id").orderBy("pos")
@@ -135,6 +136,11 @@ def low_agreement_dialogs(per_dialog: DataFrame, kappas: DataFrame) -> DataFrame
     return per_dialog.join(kappas.select("movie", "kappa"), "movie").filter(F.col("overlap") < limit).select("movie", "dialog_id", "overlap")
 
 
+def low_agreement_utterances(utts: DataFrame, low: DataFrame) -> DataFrame:
+    """The utterances of low dialogs, with their dialog's overlap."""
+    return utts.join(low.select("dialog_id", "overlap"), "dialog_id")
+
+
 def low_agreement_by_annotator(low: DataFrame, annotators: Sequence[str] = ("P1", "P2", "P3")) -> DataFrame:
     """Each low dialog for each annotator."""
     return low.select(F.explode(F.array(*[F.lit(a) for a in annotators])).alias("annotator"), "movie", "dialog_id")
@@ -142,14 +148,13 @@ def low_agreement_by_annotator(low: DataFrame, annotators: Sequence[str] = ("P1"
 
 def smooth_uncertain(utts: DataFrame) -> DataFrame:
     """NotSure and Other take the label of the utterance before in the movie if its speaker is the same and its
-    label certain; the movie's first utterance looks at the one after. Only original labels count. Adds smoothed."""
-    order = Window.partitionBy("movie").orderBy("dialog_id", "pos")
+    label certain; the movie's first utterance looks at the one after. Only original labels count. Adds smoothed.
+    Writes its rows once, in ranges of the movie's order, so that a movie is not one task's."""
     unsure = lambda c: c.isin(NOT_SURE, "Other")
-    near = lambda f, c: f(c).over(order)
-    first = F.row_number().over(order) == 1
-    mate = lambda c: F.when(first, near(F.lead, c)).otherwise(near(F.lag, c))
-    takes = unsure(F.col("main")) & (mate("speaker") == F.col("speaker")) & ~unsure(mate("main"))
-    return utts.withColumn("smoothed", F.when(takes, mate("main")).otherwise(F.col("main")))
+    mate = F.coalesce("before", "after")
+    takes = unsure(F.col("main")) & (mate["speaker"] == F.col("speaker")) & ~unsure(mate["main"])
+    rows = with_neighbours(utts, "movie", ["dialog_id", "pos"], ["speaker", "main"])
+    return rows.withColumn("smoothed", F.when(takes, mate["main"]).otherwise(F.col("main"))).drop("before", "after")
 
 
 def speaker_annotation_template(utts: DataFrame) -> DataFrame:

@@ -31,9 +31,40 @@ def _ratio(a: Column, b: Column) -> Column:
 
 def classification_report(confusion: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Class, precision, recall, f1, support; 0 where undefined."""
+    return _scored(confusion, by).drop("tp", "predicted")
+
+
+def _scored(confusion: DataFrame, by: Sequence[str]) -> DataFrame:
     s = class_scores(confusion, by)
     f1 = _ratio(2 * F.col("tp"), F.col("support") + F.col("predicted"))
-    return s.select(*by, "class", _ratio(F.col("tp"), F.col("predicted")).alias("precision"), _ratio(F.col("tp"), F.col("support")).alias("recall"), f1.alias("f1"), "support")
+    scores = [_ratio(F.col("tp"), F.col("predicted")).alias("precision"), _ratio(F.col("tp"), F.col("support")).alias("recall"), f1.alias("f1")]
+    return s.select(*by, "class", *scores, "support", "tp", "predicted")
+
+
+def report_with_averages(confusion: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The report with class as text, and after the classes macro, weighted and micro averages over all of them.
+
+    One grouping gives the rows of classes and the averages. Weighted: by support. Micro: of all classes' sums, where
+    precision, recall and f1 are the same. An average's support is the sum.
+    """
+    s = _scored(confusion, by)
+    scores = ("precision", "recall", "f1")
+    micro = {
+        "precision": _ratio(F.sum("tp"), F.sum("predicted")), "recall": _ratio(F.sum("tp"), F.sum("support")),
+        "f1": _ratio(2 * F.sum("tp"), F.sum("support") + F.sum("predicted")),
+    }
+    row = lambda name, made: F.struct(name.alias("class"), *[made[x].alias(x) for x in scores])
+    averages = {
+        "macro": {x: F.avg(x) for x in scores},
+        "weighted": {x: _ratio(F.sum(F.col(x) * F.col("support")), F.sum("support")) for x in scores},
+        "micro": micro,
+    }
+    rows = s.groupingSets([[*by, "class"], list(by)], *by, "class").agg(
+        F.grouping("class").alias("_all"), F.sum("support").alias("support"), row(F.col("class").cast("string"), averages["macro"]).alias("_one"),
+        F.array(*[row(F.lit(name), made) for name, made in averages.items()]).alias("_averages"),
+    )
+    each = F.when(F.col("_all") == 0, F.array("_one")).otherwise(F.col("_averages"))
+    return rows.select(*by, F.inline(each), "support")
 
 
 def accuracy(confusion: DataFrame, by: Sequence[str] = ()) -> DataFrame:

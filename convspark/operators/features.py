@@ -98,5 +98,5 @@ def drop_missing_keys(dialogs: DataFrame, sentences: DataFrame, key: str) -> Dat
 
 
 def shuffle_rows(df: DataFrame, key: str, seed: int) -> DataFrame:
-    """Rows in the order of a seeded hash."""
-    return df.orderBy(seeded(seed, key), key)
+    """Rows with place, from 0, in the order of a seeded hash; numbered by ranges. Sort by place to read them so."""
+    return with_sum_before(df, [seeded(seed, key), F.col(key)], F.lit(1), "place")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convspark.functions.vocab import LABELS, SPEAKERS
 from convspark.operators.annotation import dialog_turn_counts
+from convspark.operators.numbering import with_neighbours
 
 
 def check_speaker_domain(utts: DataFrame, speakers: Sequence[str] = SPEAKERS) -> DataFrame:
@@ -67,7 +68,7 @@ def check_timecode_format(utts: DataFrame, tc: str) -> DataFrame:
 
 
 def check_contiguous_dialogs(utts: DataFrame, by: str, order: str) -> DataFrame:
-    """Q10: dialogs that start more than once in the file order of a movie."""
-    start = F.lag("dialog_id").over(Window.partitionBy(by).orderBy(order))
-    starts = utts.filter(F.col("dialog_id").isNotNull()).withColumn("_before", start).filter(F.col("_before").isNull() | (F.col("_before") != F.col("dialog_id")))
+    """Q10: dialogs that start more than once in the file order of a movie. Writes its keys once, in ranges of that order."""
+    rows = with_neighbours(utts.select(by, order, "dialog_id").filter("dialog_id IS NOT NULL"), by, [order], ["dialog_id"])
+    starts = rows.filter(~F.col("before.dialog_id").eqNullSafe(F.col("dialog_id")))
     return starts.groupBy("dialog_id").agg(F.count("*").alias("starts")).filter("starts > 1")

@@ -52,16 +52,12 @@ def g4(spark, d):
 
 @query("G5_edge_counts", f"{CONV}, {EDGES.format('b.pos >= a.pos - 1')} SELECT dialog_id, count(*) AS n_edges FROM e GROUP BY 1")
 def g5(spark, d):
-    return X.edge_counts(X.window_edges(conv(spark, d), 1, -1))
+    return X.edge_counts(conv(spark, d), 1, -1)
 
 
 @query("G6_context_pairs", f"{CONV}, {EDGES.format('TRUE')} SELECT 'global' AS mode, count(*) AS n FROM e UNION ALL SELECT 'intra', count(*) FROM e WHERE src_speaker = dst_speaker UNION ALL SELECT 'inter', count(*) FROM e WHERE src_speaker <> dst_speaker OR src = dst UNION ALL SELECT 'local', count(*) FROM e WHERE abs(src - dst) < 3")
 def g6(spark, d):
-    out = None
-    for mode in ("global", "intra", "inter", "local"):
-        part = X.context_pairs(conv(spark, d), mode).agg(F.count("*").alias("n")).select(F.lit(mode).alias("mode"), "n")
-        out = part if out is None else out.union(part)
-    return out
+    return X.context_pair_counts(conv(spark, d))
 
 
 CM = f"{PREDS}, cm AS (SELECT run, label, pred, sum(mask) AS n FROM preds GROUP BY 1, 2, 3)"
@@ -102,9 +98,21 @@ def e6(spark, d):
     return E.class_f1(confusion(spark, d), ["run"])
 
 
-@query("E7_classification_report", f"{CLS} SELECT run, class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM rep")
+E7_SQL = f"""{CLS}, averages AS (
+  SELECT run, 'macro' AS class, avg(precision) AS precision, avg(recall) AS recall, avg(f1) AS f1, sum(support) AS support FROM rep GROUP BY run
+  UNION ALL
+  SELECT run, 'weighted', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support),
+         sum(support) FROM rep GROUP BY run
+  UNION ALL
+  SELECT run, 'micro', sum(tp) / sum(predicted), sum(tp) / sum(support), 2 * sum(tp) / (sum(support) + sum(predicted)), sum(support)
+  FROM cls GROUP BY run)
+SELECT run, class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, CAST(support AS BIGINT) AS support
+FROM (SELECT run, CAST(class AS VARCHAR) AS class, precision, recall, f1, support FROM rep UNION ALL SELECT * FROM averages)"""
+
+
+@query("E7_classification_report", E7_SQL)
 def e7(spark, d):
-    return rounded(E.classification_report(confusion(spark, d), ["run"]), "precision", "recall", "f1")
+    return rounded(E.report_with_averages(confusion(spark, d), ["run"]), "precision", "recall", "f1")
 
 
 @query("E8_drop_padding", f"{PREDS} SELECT run, count(*) AS n FROM preds WHERE mask = 1 GROUP BY 1")

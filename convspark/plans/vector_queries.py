@@ -142,7 +142,7 @@ def v21(spark, d):
     return T.drop_missing_keys(rows.select("conv_id").distinct(), rows.filter("turn >= 5"), "conv_id")
 
 
-@query("V22_shuffle_rows")
+@query("V22_shuffle_rows", "SELECT vec_id, label, row_number() OVER (ORDER BY md5('3:' || CAST(vec_id AS VARCHAR)), vec_id) - 1 AS place FROM embeddings")
 def v22(spark, d):
     return T.shuffle_rows(emb(spark, d).select("vec_id", "label"), "vec_id", 3)
 

@@ -90,7 +90,9 @@ def test_vectors(spark):
     df = spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0], [5.0, 9.0]],)], "m array<array<double>>")
     got = one(df.select(V.pool_mean(F.col("m")).alias("a"), V.pool_mean(F.col("m"), True).alias("b"), V.downsample_mean(F.col("m"), 2).alias("c"), V.scale_minmax(F.array(F.lit(2.0), F.lit(2.0))).alias("d"), V.pool_first(F.filter("m", lambda x: F.lit(False))).alias("e")))
     assert (got.a, got.b, got.c, got.d, got.e) == ([3, 5], [3, 4], [[2, 3], [5, 9]], [0, 0], None)
-    model = one(features.fit_standardizer(df, "m", 2))
+    # of the four steps of two matrices end to end every second one: places 0 and 3
+    pair = spark.createDataFrame([(2, [[5.0, 9.0]]), (1, [[1.0, 2.0], [3.0, 4.0], [7.0, 0.0]])], "k long, m array<array<double>>")
+    model = one(features.fit_standardizer(pair, "m", "k", 2))
     assert (model["mean"], model["std"]) == ([3, 5.5], [2, 3.5])
 
 
