@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convspark.operators import annotation as A
-from convspark.sources.checkpoints import cut
 
 
 def movie_statistics(voted: DataFrame) -> DataFrame:
@@ -102,21 +101,58 @@ def selection_stats(clips: DataFrame) -> DataFrame:
     return clips.select(tags.alias("tag"), "seconds").groupBy("tag").agg(F.count("*").alias("n_clips"), F.sum("seconds").alias("seconds"))
 
 
-def movie_profile(utts: DataFrame) -> DataFrame:
-    """Long table movie, what, key, n: turns, utterances, labels and the four kinds of transition."""
-    utts = cut(utts.select("movie", "dialog_id", "pos", "speaker", "main"))  # read four times below
-    counts = A.dialog_turn_counts(utts, ["movie"])
-    out = counts.select("movie", F.inline(F.array(*[F.struct(F.lit("count").alias("what"), F.lit(c).alias("key"), F.col(c).alias("n")) for c in ("n_dialogs", "n_turns", "n_utts")])))
-    out = out.union(utts.groupBy("movie", F.lit("label").alias("what"), F.col("main").alias("key")).agg(F.count("*").alias("n")))
-    for name, moves in (("turn", turn_transitions(utts)), ("within", within_turn_transitions(utts))):
-        counted = transition_counts(moves, ["movie", "kind"])
-        out = out.union(counted.select("movie", F.concat(F.lit(f"{name}_"), F.col("kind")), "move", "n"))
-    return cut(out)  # some hundred rows a movie, for several uses
+def movie_profile(utts: DataFrame, raters: Sequence[str] = ()) -> DataFrame:
+    """Long table movie, what, key, n: turns, utterances, labels and the four kinds of transition.
+
+    One pass: in a dialog's order each utterance meets the label before it in its turn and that of the turn before, and
+    gives the counts it stands for, which one aggregate adds up. With raters (three columns of label lists) also what
+    kappa needs: what `rating`, a count of each first label, and `agreement`, pairs of raters that agree.
+    """
+    w, dialog = A.in_dialog(), Window.partitionBy("dialog_id")
+    named = [F.get(r, F.lit(0)).alias(f"_{k}") for k, r in enumerate(raters)]
+    rows = utts.select("movie", "dialog_id", "pos", "speaker", "main", *named)
+    rows = rows.withColumns({"_change": F.when(F.col("speaker") != F.lag("speaker", 1, "A").over(w), 1).otherwise(0), "_k": F.row_number().over(w), "_lag": F.lag("main").over(w)})
+    starts = (F.col("_change") == 1) | (F.col("_k") == 1)
+    rows = rows.withColumns({"_turn": F.sum("_change").over(w), "_starts": starts})
+    earlier = F.last(F.when(F.col("_starts"), F.struct("main")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumns({"_earlier": earlier["main"], "_last": F.max("_turn").over(dialog)})
+    one = F.lit(1).cast("long")
+    entry = lambda what, key, n, holds=F.lit(True): F.when(holds, F.struct(what.alias("what"), key.alias("key"), n.cast("long").alias("n")))
+
+    def move(name: str, before: Column, holds: Column) -> Column:
+        kind = F.when(before == F.col("main"), f"{name}_inertia").otherwise(f"{name}_shift")
+        return entry(kind, F.concat_ws("_", before, "main"), one, holds & before.isNotNull())
+
+    first = F.col("_k") == 1
+    count = lambda key, n, holds=F.lit(True): entry(F.lit("count"), F.lit(key), n, holds)
+    entries = [
+        count("n_utts", one), count("n_dialogs", one, first), count("n_turns", F.col("_change") + first.cast("int"), starts),
+        entry(F.lit("label"), F.col("main"), one), move("turn", F.col("_earlier"), F.col("_starts")),
+        move("within", F.col("_lag"), ~F.col("_starts") & (F.col("_turn") < F.col("_last"))),
+    ]
+    if raters:
+        pairs = [(F.col(f"_{a}") == F.col(f"_{b}")).cast("int") for a, b in ((0, 1), (0, 2), (1, 2))]
+        entries += [entry(F.lit("rating"), F.col(f"_{k}"), one) for k in range(3)] + [entry(F.lit("agreement"), F.lit("pairs"), sum(pairs, F.lit(0)))]
+    each = rows.select("movie", F.inline(F.filter(F.array(*entries), lambda e: e.isNotNull())))
+    return each.groupBy("movie", "what", "key").agg(F.sum("n").alias("n"))
+
+
+MAPS = ("label", "turn_inertia", "turn_shift", "within_inertia", "within_shift")
 
 
 def profile_maps(profile: DataFrame) -> DataFrame:
-    """A profile as one row a movie with a map for each kind of count."""
-    return profile.groupBy("movie").pivot("what").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "n")))))
+    """One row a movie: n_dialogs, n_turns, n_utts, kappa of the raters' first labels (null where chance agreement
+    is 1, or without raters) and a map of counts for labels and each kind of transition."""
+    of = lambda what: F.col("what") == what
+    number = lambda key: F.coalesce(F.max(F.when(of("count") & (F.col("key") == key), F.col("n"))), F.lit(0).cast("long"))
+    listed = lambda what: F.map_from_entries(F.array_sort(F.collect_list(F.when(of(what), F.struct("key", "n")))))
+    ratings = F.sum(F.when(of("rating"), F.col("n")))
+    chance = F.sum(F.when(of("rating"), F.col("n").cast("double") * F.col("n"))) / ratings / ratings
+    observed = F.max(F.when(of("agreement"), F.col("n"))) / ratings
+    rows = profile.groupBy("movie").agg(
+        *[number(k).alias(k) for k in ("n_dialogs", "n_turns", "n_utts")], F.try_divide(observed - chance, 1 - chance).alias("kappa"), *[listed(x).alias(x) for x in MAPS]
+    )
+    return rows
 
 
 def subset_profile(profile: DataFrame, movies: DataFrame, by: Sequence[str] = ()) -> DataFrame:

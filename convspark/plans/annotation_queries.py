@@ -306,9 +306,10 @@ def _low(spark, d):
     return A.low_agreement_dialogs(G.overlap_similarity_dialog(rows), G.fleiss_kappa(rows, ["movie"]))
 
 
-@query("A21_low_agreement_dialogs", f"{ALIGNED}, {LOW} SELECT * FROM low")
+@query("A21_low_agreement_dialogs", f"{ALIGNED}, {LOW} SELECT al.movie, dialog_id, utt_id, speaker, text, overlap FROM al JOIN low USING (dialog_id)")
 def a21(spark, d):
-    return _low(spark, d).withColumn("overlap", F.round("overlap", 6))
+    low = _low(spark, d).withColumn("overlap", F.round("overlap", 6))
+    return A.low_agreement_utterances(ann(spark, d).select("movie", "dialog_id", "utt_id", "speaker", "text"), low)
 
 
 @query("A22_low_agreement_by_annotator", f"{ALIGNED}, {LOW} SELECT unnest(['P1', 'P2', 'P3']) AS annotator, movie, dialog_id FROM low")

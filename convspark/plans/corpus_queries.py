@@ -8,9 +8,10 @@ from convspark.functions import keys as K
 from convspark.functions.vocab import LABELS
 from convspark.operators import corpus as C
 from convspark.operators import split as S
-from convspark.plans.annotation_queries import ANN, TURNS, VOTED, ann, voted
+from convspark.plans.annotation_queries import ANN, TURNS, VOTED, _fleiss, ann, voted
 from convspark.plans.fixtures import TABLES, fixture
 from convspark.plans.registry import query
+from convspark.sources.checkpoints import cut
 
 SIZES = {"train": 7, "val": 1, "test": 2}
 SETS = f"sets AS ({TABLES['movie_set'][0]})"
@@ -90,9 +91,27 @@ def c11(spark, d):
     return C.selection_stats(clips).withColumn("seconds", F.round("seconds", 6))
 
 
-@query("C12_movie_profile", f"{PROFILE} SELECT * FROM prof")
+def profile(spark, d):
+    """Some hundred rows a movie, which are read more than once."""
+    return cut(C.movie_profile(voted(spark, d)))
+
+
+def map_text(x):
+    return F.array_join(F.transform(F.map_entries(x), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), " ")
+
+
+MAP_SQL = ", ".join(f"coalesce(string_agg(key || ':' || CAST(n AS VARCHAR), ' ' ORDER BY key) FILTER (WHERE what = '{x}'), '') AS {x}" for x in C.MAPS)
+FLEISS = _fleiss("movie").split(", r AS", 1)[1]
+C12_SQL = f"""{PROFILE}, kappas AS (WITH r AS{FLEISS})
+SELECT movie, max(n) FILTER (WHERE key = 'n_dialogs') AS n_dialogs, max(n) FILTER (WHERE key = 'n_turns') AS n_turns,
+       max(n) FILTER (WHERE key = 'n_utts') AS n_utts, max(kappa) AS kappa, {MAP_SQL}
+FROM prof JOIN (SELECT movie, kappa FROM kappas) USING (movie) GROUP BY movie"""
+
+
+@query("C12_movie_profile", C12_SQL)
 def c12(spark, d):
-    return C.movie_profile(voted(spark, d))
+    got = C.profile_maps(C.movie_profile(voted(spark, d), ("p1", "p2", "p3")))
+    return got.select("movie", "n_dialogs", "n_turns", "n_utts", F.round("kappa", 6).alias("kappa"), *[map_text(x).alias(x) for x in C.MAPS])
 
 
 @query("C13_subset_profile", f"{PROFILE}, {SETS} SELECT what, key, CAST(sum(n) AS BIGINT) AS n FROM prof JOIN sets USING (movie) WHERE set_name = 'test' GROUP BY 1, 2")
@@ -102,9 +121,9 @@ def c13(spark, d):
 
 @query("C14_share_of_total", f"{PROFILE}, {SETS} SELECT what, key, round(coalesce(sum(n) FILTER (WHERE set_name = 'val'), 0) / sum(n), 4) AS share FROM prof JOIN sets USING (movie) GROUP BY 1, 2")
 def c14(spark, d):
-    profile = C.movie_profile(voted(spark, d))
-    total = profile.groupBy("what", "key").agg(F.sum("n").alias("n"))
-    return C.share_of_total(C.subset_profile(profile, fixture(spark, d, "movie_set").filter("set_name = 'val'")), total)
+    whole = profile(spark, d)
+    total = whole.groupBy("what", "key").agg(F.sum("n").alias("n"))
+    return C.share_of_total(C.subset_profile(whole, fixture(spark, d, "movie_set").filter("set_name = 'val'")), total)
 
 
 RANGES = "CASE WHEN r <= 7 THEN 'train' WHEN r <= 8 THEN 'val' WHEN r <= 10 THEN 'test' END"
@@ -117,7 +136,7 @@ def c15(spark, d):
 
 @query("C16_split_balance", f"{PROFILE}, {SETS}, tot AS (SELECT what, key, sum(n) AS a FROM prof GROUP BY 1, 2), s AS (SELECT set_name, what, key, sum(n) AS n FROM prof JOIN sets USING (movie) GROUP BY 1, 2, 3) SELECT q.set_name, what, key, round(coalesce(n, 0) / a, 4) AS share FROM (SELECT DISTINCT set_name FROM s) q CROSS JOIN tot LEFT JOIN s USING (set_name, what, key)")
 def c16(spark, d):
-    return S.split_balance(C.movie_profile(voted(spark, d)), fixture(spark, d, "movie_set"))
+    return S.split_balance(profile(spark, d), fixture(spark, d, "movie_set"))
 
 
 SEARCH = f"""{PROFILE}, dl AS (SELECT seed, movie, {RANGES} AS set_name FROM
@@ -128,7 +147,7 @@ dv AS (SELECT seed, round(sum(abs(n / a - CASE set_name WHEN 'train' THEN 0.7::D
 
 @query("C17_search_split", f"{SEARCH} SELECT seed, deviation FROM dv ORDER BY deviation, seed LIMIT 1")
 def c17(spark, d):
-    return S.search_split(C.movie_profile(voted(spark, d)), SIZES, 50)
+    return S.search_split(profile(spark, d), SIZES, 50)
 
 
 @query("C18_apply_group_split", f"{ANN}, {SETS} SELECT set_name, count(*) AS n_utts, count(DISTINCT dialog_id) AS n_dialogs FROM ann JOIN sets USING (movie) GROUP BY 1")

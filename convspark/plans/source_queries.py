@@ -117,8 +117,11 @@ def s10(spark, d):
 
 @query("S11_upsert_by_key", "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'new' ELSE 'old' END AS v FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 5 = 0")
 def s11(spark, d):
-    rows = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey")
-    return U.upsert_by_key(rows.filter("c_custkey % 2 = 0").withColumn("v", F.lit("old")), rows.filter("c_custkey % 5 = 0").withColumn("v", F.lit("new")), ["c_custkey"])
+    path = place(spark)
+    rows = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", (c("c_custkey") % 3).alias("part"))
+    for rest, v in ((2, "old"), (5, "new")):
+        U.upsert_partitions(spark, path, rows.filter(c("c_custkey") % rest == 0).withColumn("v", F.lit(v)), ["c_custkey"], ["part"])
+    return spark.read.parquet(path).select("c_custkey", "v")
 
 
 @query("S12_only_missing", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 2)")

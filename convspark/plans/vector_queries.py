@@ -177,7 +177,8 @@ def matches(spark, d):
 
 
 def assigned(spark, d):
-    return X.assign_frames(utterances(spark, d))
+    """Of the frames that have faces."""
+    return X.assign_frames(utterances(spark, d), face_rows(spark, d))
 
 
 def active(spark, d):
@@ -201,7 +202,7 @@ def f2(spark, d):
 
 @query("F3_assign_frames", f"{F_UTTS}, {ASSIGNED} SELECT * FROM asg")
 def f3(spark, d):
-    return assigned(spark, d)
+    return X.assign_frames(utterances(spark, d))
 
 
 @query("F4_match_tracks", f"{FACES}, {MATCHED} SELECT * FROM mt")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convspark.functions.keys import argmax
+from convspark.sources.checkpoints import cut
 
 
 def export_training_text(labels: DataFrame, utterances: DataFrame, key: str) -> DataFrame:
@@ -25,6 +27,26 @@ def upsert_by_key(target: DataFrame, new: DataFrame, key: Sequence[str]) -> Data
     return target.join(new, list(key), "left_anti").unionByName(new)
 
 
+def upsert_partitions(spark: SparkSession, path: str, new: DataFrame, key: Sequence[str], by: Sequence[str]) -> None:
+    """upsert_by_key into the Parquet dataset at path, partitioned by the columns `by`, which the key decides.
+
+    Only partitions that have a row of new are read and written anew; files of all others stay as they are, so the cost
+    follows what changes. A dataset that isn't there yet is made. Rows without a partition are Parquet's null partition.
+    """
+    new = cut(new)
+    try:
+        target = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return new.write.partitionBy(*by).parquet(path)
+    target = target.select(*[F.col(c).cast(new.schema[c].dataType) for c in new.columns])
+    touched = new.select(*by).distinct()
+    same = [target[c].eqNullSafe(touched[c]) for c in by]
+    rows = cut(upsert_by_key(target.join(touched, same, "left_semi"), new, key))  # written before its source is replaced
+    rows.repartition(*by).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(*by).parquet(path)
+
+
 def only_missing(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """S12"""
     return todo.join(done.select(key), key, "left_anti")
