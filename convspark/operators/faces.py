@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from convspark.functions import keys as K
 from convspark.functions import vectors as V
+from convspark.operators.joins import join_counted
 from convspark.sources.checkpoints import cut
 
 
@@ -171,26 +172,66 @@ def face_density(detections: DataFrame, assigned: DataFrame) -> DataFrame:
     return per.groupBy("dialog").agg(F.count("*").alias("n_frames"), F.sum("n").alias("n_faces"), F.sum(F.when(F.col("_in") == 1, F.col("n")).otherwise(0)).alias("n_in_utterances"))
 
 
-def near_pairs(points: DataFrame, key: str, v: str, eps: float, by: str) -> DataFrame:
-    """a, b: points of a group at most eps apart, each pair both ways and each point with itself.
+#: Points of a group whose distances index the others, and how many of these make cells.
+PIVOTS, RINGS = 4, 2
 
-    Points meet in cells of side eps over two entries of the vector; points in one cell or beside it are compared.
+
+def _indexed(folded: DataFrame, by: str, eps: float) -> DataFrame:
+    """folded with ball, the first pivot of the group at most eps / 2 away (null: none), and cells of rings of width eps.
+
+    Two members of a ball are at most eps apart. The distances of two points at most eps apart from any pivot differ by
+    eps at most, so they lie in one cell or in cells that touch. Widths have a margin for rounding.
+    """
+    chosen = [F.min_by("_v", F.xxhash64(F.lit(k), "_v")).alias(f"_pivot{k}") for k in range(PIVOTS)]
+    near = folded.join(folded.groupBy(by).agg(*chosen), by)
+    near = near.withColumns({f"_d{k}": V.euclidean(F.col("_v"), F.col(f"_pivot{k}")) for k in range(PIVOTS)})
+    ball = F.coalesce(*[F.when(F.col(f"_d{k}") <= eps / 2 * (1 - 1e-9), F.lit(k)) for k in range(PIVOTS)])
+    cell = F.array(*[F.floor(F.col(f"_d{k}") / (eps * (1 + 1e-9))) for k in range(RINGS)])
+    return near.select(by, "p", "w", "_v", ball.alias("ball"), cell.alias("cell"))
+
+
+def near_pairs(indexed: DataFrame, by: str, eps: float) -> DataFrame:
+    """by, a, b, wb: points of a group at most eps apart that are not in one ball, each pair both ways, and b's weight.
+
+    Cells that touch are joined: points outside balls with all points, and each ball with each other one, so that no
+    pair within a ball is made.
     """
-    own = V.doubles(F.col(v))
-    cell = lambda k: F.floor(own[k] / eps)
-    left = points.select(F.col(by), F.col(key).alias("a"), own.alias("va"), cell(0).alias("cx"), cell(1).alias("cy"))
-    around = F.explode(F.array(*[F.struct((cell(0) + dx).alias("cx"), (cell(1) + dy).alias("cy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]))
-    right = points.select(F.col(by), F.col(key).alias("b"), own.alias("vb"), around.alias("c")).select(by, "b", "vb", "c.cx", "c.cy")
-    return left.join(right, [by, "cx", "cy"]).filter(V.euclidean(F.col("va"), F.col("vb")) <= eps).select(by, "a", "b")
+    around = F.expr("transform(sequence(0, 8), k -> array(cell[0] + k div 3 - 1, cell[1] + k % 3 - 1))")
+    left = indexed.select(by, F.col("p").alias("a"), F.col("w").alias("wa"), F.col("_v").alias("va"), F.col("ball").alias("ball_a"), "cell")
+    right = indexed.select(by, F.col("p").alias("b"), F.col("w").alias("wb"), F.col("_v").alias("vb"), F.col("ball").alias("ball_b"), F.explode(around).alias("cell"))
+    close = V.euclidean(F.col("va"), F.col("vb")) <= eps
+    loose = left.filter("ball_a IS NULL").join(right, [by, "cell"]).filter((F.col("a") != F.col("b")) & close).select(by, "a", "wa", "b", "wb", "ball_b")
+    others = F.array(*[F.lit(k) for k in range(PIVOTS)])
+    balls = left.filter("ball_a IS NOT NULL").withColumn("ball_b", F.explode(F.filter(others, lambda k: k != F.col("ball_a"))))
+    mates = right.filter("ball_b IS NOT NULL").withColumn("ball_a", F.explode(F.filter(others, lambda k: k != F.col("ball_b"))))
+    across = balls.join(mates, [by, "cell", "ball_a", "ball_b"]).filter(close).select(by, "a", "b", "wb")
+    back = loose.filter("ball_b IS NOT NULL").select(by, F.col("b").alias("a"), F.col("a").alias("b"), F.col("wa").alias("wb"))
+    return loose.select(by, "a", "b", "wb").union(back).union(across)
 
 
 def cluster_dbscan(points: DataFrame, key: str, v: str, by: str, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
     """F16: by, key, cluster: the smallest core point that chains of core points reach; -1: noise. A border point takes
-    the smallest cluster beside it. Rounds of least labels over the neighbour table, which is written once."""
-    pairs = cut(near_pairs(points, key, v, eps, by))
-    cores = pairs.groupBy(by, "a").agg(F.count("*").alias("n")).filter(F.col("n") >= min_samples).select(by, "a")
-    links = cut(pairs.join(cores, [by, "a"], "left_semi").join(cores.withColumnRenamed("a", "b"), [by, "b"], "left_semi"))
-    labels = cut(cores.select(by, F.col("a").alias("p"), F.col("a").alias("_root")))
+    the smallest cluster beside it.
+
+    Equal vectors are one point with their number as its weight. A group's points are indexed by their distances to a few
+    of them; balls of radius eps / 2 need no pairs inside, as all of a ball are neighbours. The other pairs are written
+    once; rounds of least labels go over them. Computes while it is called.
+    """
+    rows = cut(points.select(by, key, V.doubles(F.col(v)).alias("_v")).filter("_v IS NOT NULL"))
+    folded = cut(rows.groupBy(by, "_v").agg(F.min(key).alias("p"), F.count("*").alias("w")))
+    indexed = cut(_indexed(folded, by, eps))
+    pairs = cut(near_pairs(indexed, by, eps))
+    ball_weights = indexed.filter("ball IS NOT NULL").groupBy(by, "ball").agg(F.sum("w").alias("_inside"))
+    beside = pairs.groupBy(by, F.col("a").alias("p")).agg(F.sum("wb").alias("_beside"))
+    met = indexed.drop("_v").join(ball_weights, [by, "ball"], "left").join(beside, [by, "p"], "left")
+    n = F.coalesce("_inside", "w") + F.coalesce("_beside", F.lit(0))
+    met = cut(met.select(by, "p", "ball", (n >= min_samples).alias("core")))
+    cores = met.filter("core").select(by, "p", "ball")
+    hubs = cores.filter("ball IS NOT NULL").groupBy(by, "ball").agg(F.min("p").alias("hub"))
+    spokes = cores.join(hubs, [by, "ball"]).filter("p <> hub").select(by, F.col("p").alias("a"), F.col("hub").alias("b"))
+    links = pairs.join(cores.select(by, F.col("p").alias("a")), [by, "a"], "left_semi").join(cores.select(by, F.col("p").alias("b")), [by, "b"], "left_semi").select(by, "a", "b")
+    links = cut(links.union(spokes).union(spokes.select(by, F.col("b").alias("a"), F.col("a").alias("b"))).union(cores.select(by, F.col("p").alias("a"), F.col("p").alias("b"))))
+    labels = cut(cores.select(by, "p", F.col("p").alias("_root")))
     while True:
         spread = links.join(labels.withColumnRenamed("p", "b"), [by, "b"]).groupBy(by, F.col("a").alias("p")).agg(F.min("_root").alias("_root"))
         # a label's own label is as good or better: the jump halves the way of long chains
@@ -199,10 +240,13 @@ def cluster_dbscan(points: DataFrame, key: str, v: str, by: str, eps: float = 0.
         labels = jumped
         if not changed:
             break
-    border = pairs.join(labels.withColumnRenamed("p", "b"), [by, "b"]).groupBy(by, F.col("a").alias(key)).agg(F.min("_root").alias("beside"))
-    own = labels.select(by, F.col("p").alias(key), "_root")
-    out = points.select(by, key).join(own, [by, key], "left").join(border, [by, key], "left")
-    return out.select(by, key, F.coalesce("_root", "beside", F.lit(-1)).alias("cluster"))
+    rooted = met.join(labels, [by, "p"], "left")
+    in_ball = rooted.filter("ball IS NOT NULL").groupBy(by, "ball").agg(F.min("_root").alias("_ball_root"))
+    border = pairs.join(labels.withColumnRenamed("p", "b"), [by, "b"]).groupBy(by, F.col("a").alias("p")).agg(F.min("_root").alias("_next"))
+    near = rooted.join(in_ball, [by, "ball"], "left").join(border, [by, "p"], "left")
+    cluster = F.coalesce("_root", F.least("_ball_root", "_next"), F.lit(-1)).alias("cluster")
+    found = cut(near.select(by, "p", cluster).join(folded, [by, "p"]).select(F.struct(by, "_v").alias("_at"), "cluster", "w"))
+    return join_counted(rows.select(by, key, F.struct(by, "_v").alias("_at")), found, "_at", "w").select(by, key, "cluster")
 
 
 def cluster_label_table(clustered: DataFrame, flag: Column) -> DataFrame:
