@@ -58,23 +58,35 @@ def _share(conditions: dict[str, Column]) -> list[Column]:
     return [F.count_if(c).alias(name) for name, c in conditions.items()]
 
 
+def agreement_counts() -> list[Column]:
+    """The counts of A6 and A7 as aggregates."""
+    return _share(_of_all() | _of_pairs())
+
+
 def agreement_all(aligned: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Utterances whose three lists are the same; those, or the same first label; those, or a label of all three."""
+    return aligned.groupBy(*by).agg(*_share(_of_all()))
+
+
+def _of_all() -> dict[str, Column]:
     same = (F.col("p1") == F.col("p2")) & (F.col("p1") == F.col("p3"))
     first = (F.get("p1", F.lit(0)) == F.get("p2", F.lit(0))) & (F.get("p1", F.lit(0)) == F.get("p3", F.lit(0)))
     common = F.size(F.array_intersect(F.array_intersect("p1", "p2"), "p3")) > 0
-    return aligned.groupBy(*by).agg(*_share({"all_same": same, "all_first": same | first, "all_overlap": same | first | common}))
+    return {"all_same": same, "all_first": same | first, "all_overlap": same | first | common}
 
 
 def agreement_any_pair(aligned: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Utterances where some pair of annotators agrees, counted for each kind of agreement by itself."""
+    return aligned.groupBy(*by).agg(*_share(_of_pairs()))
+
+
+def _of_pairs() -> dict[str, Column]:
     some = lambda f: f(*PAIRS[0]) | f(*PAIRS[1]) | f(*PAIRS[2])
-    kinds = {
+    return {
         "pair_same": some(lambda a, b: F.col(a) == F.col(b)),
         "pair_first": some(lambda a, b: F.get(a, F.lit(0)) == F.get(b, F.lit(0))),
         "pair_overlap": some(lambda a, b: F.arrays_overlap(a, b)),
     }
-    return aligned.groupBy(*by).agg(*_share(kinds))
 
 
 def pooled_vote(p1: Column, p2: Column, p3: Column) -> Column:

@@ -11,10 +11,15 @@ from convspark.operators import annotation as A
 
 
 def movie_statistics(voted: DataFrame) -> DataFrame:
-    """One row a movie: counts, turns a dialog, utterances a turn, counts and shares of agreement."""
-    out = A.dialog_turn_counts(voted, ["movie"])
-    for part in (A.agreement_all(voted, ["movie"]), A.agreement_any_pair(voted, ["movie"]), A.uncertain_count(voted)):
-        out = out.join(part, "movie")
+    """One row a movie: counts, turns a dialog, utterances a turn, counts and shares of agreement.
+
+    One pass: a dialog's order marks where turns start, and one aggregate counts all."""
+    w = A.in_dialog()
+    first = (F.row_number().over(w) == 1).cast("int")
+    change = F.when(F.col("speaker") != F.lag("speaker", 1, "A").over(w), 1).otherwise(0)
+    rows = voted.select("movie", "dialog_id", "pos", "speaker", "p1", "p2", "p3", "main").withColumns({"_first": first, "_change": change})
+    counts = [F.sum("_first").alias("n_dialogs"), F.sum(F.col("_first") + F.col("_change")).alias("n_turns"), F.count("*").alias("n_utts")]
+    out = rows.groupBy("movie").agg(*counts, *A.agreement_counts(), F.count_if(F.col("main") == A.NOT_SURE).alias("n_not_sure"))
     rates = {f"{k}_rate": F.col(k) / F.col("n_utts") for k in ("all_same", "all_first", "all_overlap", "pair_same", "pair_first", "pair_overlap")}
     return out.withColumns({"turns_per_dialog": F.col("n_turns") / F.col("n_dialogs"), "utts_per_turn": F.col("n_utts") / F.col("n_turns"), **rates})
 

@@ -127,10 +127,12 @@ def latest_log_per_run(logs: DataFrame, run: str, path: str = "path") -> DataFra
 
 
 def summarise_runs(results: DataFrame, by: Sequence[str], val: str, metrics: Sequence[str], order: str = "run") -> DataFrame:
-    """The mean of a configuration's runs without the one of the lowest validation score, and its first two runs."""
+    """The mean of a configuration's runs without the one of the lowest validation score, the first of equals, and
+    the first two of those runs. A configuration of one run has nulls."""
     w = Window.partitionBy(*by)
-    ranked = results.withColumns({"_low": F.row_number().over(w.orderBy(val, order)), "_k": F.row_number().over(w.orderBy(order))})
-    means = [F.avg(F.when(F.col("_low") > 1, F.col(m))).alias(f"mean_{m}") for m in metrics]
+    ranked = results.withColumn("_low", F.row_number().over(w.orderBy(val, order)) == 1)
+    ranked = ranked.withColumn("_k", F.when(~F.col("_low"), F.row_number().over(w.orderBy("_low", order))))
+    means = [F.avg(F.when(~F.col("_low"), F.col(m))).alias(f"mean_{m}") for m in metrics]
     firsts = [F.max(F.when(F.col("_k") == k, F.col(m))).alias(f"{m}_{k}") for m in metrics for k in (1, 2)]
     return ranked.groupBy(*by).agg(*means, *firsts)
 

@@ -118,8 +118,19 @@ def mean_similarity(faces: DataFrame, anchors: DataFrame) -> DataFrame:
 
 
 def best_match(sims: DataFrame, score: Column) -> DataFrame:
-    """of each frame and speaker the face of the highest score, the first of equals. Worst: the negative score."""
-    return sims.groupBy("dialog", "frame", "speaker").agg(F.max_by("face_idx", F.struct(score, -F.col("face_idx"))).alias("face_idx"))
+    """dialog, frame, speaker, best, worst: the faces of the highest and the lowest score, the first of equals."""
+    face, low = F.col("face_idx"), -F.col("face_idx")
+    return sims.groupBy("dialog", "frame", "speaker").agg(F.max_by(face, F.struct(score, low)).alias("best"), F.max_by(face, F.struct(-score, low)).alias("worst"))
+
+
+def _frame_faces(faces: DataFrame, anchors: DataFrame) -> DataFrame:
+    """dialog, frame, sims: each face of a frame and its similarity to each speaker of the dialog, an empty list where the
+    dialog has no anchors. One shuffle of faces by frame; the speakers' means are one row a dialog."""
+    means = anchor_means(anchors).groupBy("dialog").agg(F.collect_list(F.struct("speaker", "anchor")).alias("speakers"))
+    own = V.unit(V.doubles(F.col("emb")))
+    met = faces.select("dialog", "frame", "face_idx", own.alias("_v")).join(means, "dialog", "left")
+    sims = F.transform(F.coalesce("speakers", F.array().cast(means.schema["speakers"].dataType)), lambda s: F.struct(s["speaker"].alias("speaker"), V.dot(F.col("_v"), s["anchor"]).alias("sim")))
+    return met.select("dialog", "frame", F.struct("face_idx", sims.alias("sims")).alias("face")).groupBy("dialog", "frame").agg(F.array_sort(F.collect_list("face")).alias("faces"))
 
 
 def link_faces(faces: DataFrame, matches: DataFrame, assigned: DataFrame, anchors: DataFrame, seed: int = 0) -> DataFrame:
@@ -127,22 +138,29 @@ def link_faces(faces: DataFrame, matches: DataFrame, assigned: DataFrame, anchor
 
     In turn: the only face; the active one; where all active faces of the utterance have one index, that face if its
     mean similarity to the speaker's anchors is over 0.6, else the other; the face most like the speaker's anchors;
-    the one least like the other speaker's; one by a seeded hash. matches and assigned are read several times.
+    the one least like the other speaker's; one by a seeded hash.
+
+    All that is known of a frame's few faces is one row, so that the rest is joins by frame and one window by utterance.
     """
-    frames = faces.groupBy("dialog", "frame").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("face_idx")).alias("ids")).join(assigned, ["dialog", "frame"])
-    sims = cut(mean_similarity(faces, anchors))
-    own = best_match(sims, F.round("sim", 9)).withColumnRenamed("face_idx", "own_face")
-    worst = best_match(sims, -F.round("sim", 9)).select("dialog", "frame", F.col("speaker").alias("other"), F.col("face_idx").alias("other_face"))
-    usual = matches.join(assigned, ["dialog", "frame"]).groupBy("dialog", "utt").agg(F.min("face_idx").alias("usual"), F.max("face_idx").alias("_max")).filter("usual = _max").drop("_max")
-    near = sims.select("dialog", "frame", "speaker", F.col("face_idx").alias("usual"), F.col("sim").alias("usual_sim"))
-    rows = frames.join(matches.withColumnRenamed("face_idx", "active_face"), ["dialog", "frame"], "left").join(usual, ["dialog", "utt"], "left")
-    rows = rows.join(near, ["dialog", "frame", "speaker", "usual"], "left").join(own, ["dialog", "frame", "speaker"], "left")
-    others = worst.groupBy("dialog", "frame").agg(F.collect_list(F.struct("other", "other_face")).alias("others"))
-    rows = rows.join(others, ["dialog", "frame"], "left").withColumn("other_face", F.get(F.filter("others", lambda o: o["other"] != F.col("speaker")), F.lit(0))["other_face"])
-    rest = F.get(F.filter("ids", lambda i: i != F.col("usual")), F.lit(0))
-    chance = F.get("ids", F.pmod(F.conv(F.substring(K.seeded(seed, "dialog", "frame"), 1, 8), 16, 10).cast("long"), F.size("ids")).cast("int"))
+    rows = _frame_faces(faces, anchors).join(assigned, ["dialog", "frame"]).join(matches.withColumnRenamed("face_idx", "active_face"), ["dialog", "frame"], "left")
+    utterance = Window.partitionBy("dialog", "utt")
+    least, most = F.min("active_face").over(utterance), F.max("active_face").over(utterance)
+    rows = rows.withColumn("usual", F.when(least == most, least))
+    # scores as (rounded similarity, -face): the largest is the best, the first of equals; of the negative the worst
+    scored = lambda f, of: F.get(F.filter(f["sims"], of), F.lit(0))["sim"]
+    mine = lambda s: s["speaker"] == F.col("speaker")
+    ids = F.transform("faces", lambda f: f["face_idx"])
+
+    def extreme(of, sign: int) -> Column:
+        values = F.transform("faces", lambda f: F.struct((F.round(scored(f, of), 9) * sign).alias("sim"), (-f["face_idx"]).alias("low")))
+        return -F.array_max(F.filter(values, lambda x: x["sim"].isNotNull()))["low"]
+
+    usual_sim = F.get(F.filter(F.transform("faces", lambda f: F.when(f["face_idx"] == F.col("usual"), scored(f, mine))), lambda x: x.isNotNull()), F.lit(0))
+    rest = F.get(F.filter(ids, lambda i: i != F.col("usual")), F.lit(0))
+    chance = F.get(ids, F.pmod(F.conv(F.substring(K.seeded(seed, "dialog", "frame"), 1, 8), 16, 10).cast("long"), F.size(ids)).cast("int"))
+    rows = rows.withColumns({"own_face": extreme(mine, 1), "other_face": extreme(lambda s: s["speaker"] != F.col("speaker"), -1), "usual_sim": usual_sim})
     steps = [
-        ("single", F.col("n") == 1, F.get("ids", F.lit(0))),
+        ("single", F.size("faces") == 1, F.get(ids, F.lit(0))),
         ("active", F.col("active_face").isNotNull(), F.col("active_face")),
         ("same_utterance", F.col("usual_sim").isNotNull(), F.when(F.col("usual_sim") > 0.6, F.col("usual")).otherwise(F.coalesce(rest, F.col("usual")))),
         ("own", F.col("own_face").isNotNull(), F.col("own_face")),

@@ -70,20 +70,36 @@ def pack_dialogs(utts: DataFrame, features: DataFrame, key: str, fields: Sequenc
     return rows.groupBy("dialog_id").agg(F.array_sort(F.collect_list(F.struct("pos", key, "speaker", *fields))).alias("turns"))
 
 
-def batch_and_pad(packs: DataFrame, turns: str, order: str, batch_size: int, pad: Column, drop_last: bool = False) -> DataFrame:
-    """Batch, and each dialog padded to the longest of its batch; batches are consecutive dialogs.
+#: Tokens of an utterance that a batch keeps.
+MAX_TOKENS = 300
 
-    Dialogs are numbered over (order, length) alone; their content is joined back, so the running number, added up by ranges, sees ids only.
+
+def batch_and_pad(
+    packs: DataFrame, turns: str, order: str, batch_size: int, pad: Column, drop_last: bool = False, tokens: str | None = None, max_tokens: int = MAX_TOKENS, filler: Column | None = None
+) -> DataFrame:
+    """Batch, longest, mask and padded (whether a turn is padding), and each dialog padded with `pad` to the longest
+    of its batch; batches are consecutive dialogs, and drop_last leaves a short last one out.
+
+    With tokens, a field of the turns that is an array, each is cut at max_tokens and filled up with `filler` to the
+    batch's longest one, which is width; that of pad, too. Dialogs are numbered over (order, lengths) alone; their
+    content is joined back, so the running number, added up by ranges, sees ids only.
     """
-    numbers = with_sum_before(packs.select(order, F.size(turns).alias("_n")), [F.asc(order)], F.lit(1), "_at").withColumn("batch", F.floor(F.col("_at") / batch_size)).drop("_at")
+    if tokens is not None:
+        kept = lambda t: F.slice(t[tokens], 1, F.least(F.size(t[tokens]), F.lit(max_tokens)))
+        packs = packs.withColumn(turns, F.transform(turns, lambda t: t.withField(tokens, kept(t))))
+    wide = F.array_max(F.transform(turns, lambda t: F.size(t[tokens]))) if tokens is not None else F.lit(0)
+    numbers = with_sum_before(packs.select(order, F.size(turns).alias("_n"), wide.alias("_w")), [F.asc(order)], F.lit(1), "_at").withColumn("batch", F.floor(F.col("_at") / batch_size)).drop("_at")
     w = Window.partitionBy("batch")
-    numbers = numbers.withColumns({"longest": F.max("_n").over(w), "_k": F.count("*").over(w)})
+    numbers = numbers.withColumns({"longest": F.max("_n").over(w), "width": F.max("_w").over(w), "_k": F.count("*").over(w)}).drop("_w")
     if drop_last:
         numbers = numbers.filter(F.col("_k") == batch_size)
     rows = packs.join(numbers, order)
     padded = F.concat(F.col(turns), F.array_repeat(pad, F.col("longest") - F.col("_n")))
+    if tokens is not None:
+        padded = F.transform(padded, lambda t: t.withField(tokens, F.concat(t[tokens], F.array_repeat(filler, F.col("width") - F.size(t[tokens])))))
     mask = F.concat(F.array_repeat(F.lit(1), F.col("_n")), F.array_repeat(F.lit(0), F.col("longest") - F.col("_n")))
-    return rows.withColumns({turns: padded, "mask": mask}).drop("_n", "_k")
+    out = rows.withColumns({turns: padded, "mask": mask, "padded": F.transform(mask, lambda m: m == 0)}).drop("_n", "_k")
+    return out if tokens is not None else out.drop("width")
 
 
 def chunk_rows(df: DataFrame, by: Sequence[str], order: str, n: int) -> DataFrame:

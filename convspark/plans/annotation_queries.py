@@ -8,9 +8,11 @@ from convspark.functions import keys as K
 from convspark.functions.vocab import LABELS, MODEL_IDS
 from convspark.operators import agreement as G
 from convspark.operators import annotation as A
+from convspark.operators import corpus
 from convspark.operators import quality as Q
 from convspark.plans.fixtures import fixture, sheets, with_sql
 from convspark.plans.registry import query
+from convspark.sources.checkpoints import cut
 
 ANN, CONV = with_sql("ann"), with_sql("conv")
 STRIPPED = "string_split(replace({}, ' ', ''), ',')"
@@ -284,18 +286,40 @@ def a17(spark, d):
     return got.withColumns({p: F.round(p, 6) for p in ("p1_gold", "p2_gold", "p3_gold")})
 
 
-@query("A18_decision_report", f"{VOTED}, r AS ({_RATES}), d AS ({OVERLAP}), w AS (SELECT movie, " + ", ".join(f"round(avg(CAST(o AS INT)) FILTER (WHERE pair = '{a}_{b}'), 6) AS overlap_{a}_{b}" for a, b in G.VOTED) + " FROM r GROUP BY 1), dd AS (SELECT movie, round(min(overlap), 6) AS least_dialog, round(avg(overlap), 6) AS mean_dialog FROM d GROUP BY 1), u AS (SELECT movie, count(*) FILTER (WHERE main = 'NotSure') AS n_not_sure FROM voted GROUP BY 1) SELECT * FROM w JOIN dd USING (movie) JOIN u USING (movie)")
+A18_SQL = f"""{VOTED}, r AS ({_RATES}), d AS ({OVERLAP}), {GOLD},
+n AS (SELECT movie, pair, count(*) AS n, count(*) FILTER (WHERE x = y) AS same, avg(CAST(o AS INT)) AS overlap FROM r GROUP BY 1, 2),
+mx AS (SELECT movie, pair, x AS l, count(*) AS k FROM r GROUP BY 1, 2, 3), my AS (SELECT movie, pair, y AS l, count(*) AS k FROM r GROUP BY 1, 2, 3),
+pe AS (SELECT mx.movie, mx.pair, sum(mx.k * my.k) AS s FROM mx JOIN my USING (movie, pair, l) GROUP BY 1, 2),
+kp AS (SELECT movie, pair, overlap, (same / n - coalesce(s, 0) / n / n) / (1 - coalesce(s, 0) / n / n) AS kappa FROM n LEFT JOIN pe USING (movie, pair)),
+wide AS (SELECT movie, {", ".join(f"round(max({v}) FILTER (WHERE pair = '{a}_{b}'), 6) AS {v}_{a}_{b}" for v in ("kappa", "overlap") for a, b in G.VOTED)} FROM kp GROUP BY 1),
+f1 AS (WITH r AS{_fleiss("movie").split(", r AS", 1)[1]}), f2 AS (WITH r AS{_fleiss("movie", "NOT list_contains(r, 'Other')").split(", r AS", 1)[1]}),
+dd AS (SELECT movie, round(min(overlap), 6) AS least_dialog, round(avg(overlap), 6) AS mean_dialog FROM d GROUP BY 1),
+u AS (SELECT movie, count(*) FILTER (WHERE main = 'NotSure') AS n_not_sure FROM voted GROUP BY 1),
+gs AS (SELECT movie, {", ".join(f"round(avg(CAST(list_has_any({p}, gold) AS INT)), 6) AS {p}_gold" for p in ("p1", "p2", "p3"))} FROM gold GROUP BY 1),
+st AS (SELECT movie, count(*) % 6 AS stars1, count(*) % 5 AS stars2, count(*) % 4 AS stars3 FROM ann GROUP BY 1)
+SELECT wide.*, f1.kappa AS fleiss, f2.kappa AS fleiss_no_other, least_dialog, mean_dialog, n_not_sure, p1_gold, p2_gold, p3_gold, stars1, stars2, stars3
+FROM wide JOIN f1 USING (movie) LEFT JOIN f2 USING (movie) JOIN dd USING (movie) JOIN u USING (movie) LEFT JOIN gs USING (movie) LEFT JOIN st USING (movie)"""
+
+
+def doubles_rounded(df):
+    return df.select(*[F.round(name, 6).alias(name) if kind == "double" else name for name, kind in df.dtypes])
+
+
+def stars(spark, d):
+    """The wide table of annotators, one row a movie."""
+    n = ann(spark, d).groupBy("movie").agg(F.count("*").cast("int").alias("n"))
+    return n.select("movie", *[F.lit(f"n{k}").alias(f"name{k}") for k in (1, 2, 3)], *[F.expr(f"repeat('★', n % {7 - k})").alias(f"rating{k}") for k in (1, 2, 3)])
+
+
+@query("A18_decision_report", A18_SQL)
 def a18(spark, d):
-    got = G.decision_report(voted(spark, d))
-    cols = [f"overlap_{a}_{b}" for a, b in G.VOTED] + ["least_dialog", "mean_dialog"]
-    return got.select("movie", *[F.round(x, 6).alias(x) for x in cols], "n_not_sure")
+    got = G.decision_report(cut(voted(spark, d)), A.annotator_quality(stars(spark, d)), A.gold_from_feedback(filled(spark, d)))
+    return doubles_rounded(got)
 
 
 @query("A20_annotator_quality", f"{ANN} SELECT movie, unnest([1, 2, 3]) AS annotator, unnest(['n1', 'n2', 'n3']) AS name, unnest([n % 6, n % 5, n % 4]) AS stars FROM (SELECT movie, count(*) AS n FROM ann GROUP BY 1)")
 def a20(spark, d):
-    n = ann(spark, d).groupBy("movie").agg(F.count("*").cast("int").alias("n"))
-    wide = n.select("movie", *[F.lit(f"n{k}").alias(f"name{k}") for k in (1, 2, 3)], *[F.expr(f"repeat('★', n % {7 - k})").alias(f"rating{k}") for k in (1, 2, 3)])
-    return A.annotator_quality(wide)
+    return A.annotator_quality(stars(spark, d))
 
 
 LOW = f"k AS (SELECT movie, kappa FROM ({_fleiss('movie').split(', r AS', 1)[1].join(['WITH r AS', ''])})) , low AS (SELECT movie, dialog_id, round(overlap, 6) AS overlap FROM ({OVERLAP}) JOIN k USING (movie) WHERE overlap < CASE WHEN kappa > 0.45 THEN 0.3 ELSE 0.5 END)"
@@ -317,12 +341,23 @@ def a22(spark, d):
     return A.low_agreement_by_annotator(_low(spark, d))
 
 
-@query("A19_movie_statistics", f"{VOTED}, t AS ({TURNS.split(', turns AS (', 1)[1][:-1]}), n AS (SELECT movie, count(*) AS n_dialogs, CAST(sum(t) AS BIGINT) AS n_turns, CAST(sum(u) AS BIGINT) AS n_utts FROM (SELECT movie, dialog_id, max(turn_no) AS t, count(*) AS u FROM t GROUP BY 1, 2) GROUP BY 1), s AS (SELECT movie, count(*) FILTER (WHERE p1 = p2 AND p2 = p3) AS all_same, count(*) FILTER (WHERE p1 = p2 OR p1 = p3 OR p2 = p3) AS pair_same, count(*) FILTER (WHERE main = 'NotSure') AS n_not_sure FROM voted GROUP BY 1) SELECT *, round(n_turns / n_dialogs, 6) AS turns_per_dialog, round(n_utts / n_turns, 6) AS utts_per_turn, round(all_same / n_utts, 6) AS all_same_rate FROM n JOIN s USING (movie)")
-def a19(spark, d):
-    from convspark.operators.corpus import movie_statistics
+COUNTED = {
+    "all_same": "p1 = p2 AND p2 = p3", "all_first": "p1 = p2 AND p2 = p3 OR p1[1] = p2[1] AND p2[1] = p3[1]",
+    "all_overlap": "p1 = p2 AND p2 = p3 OR p1[1] = p2[1] AND p2[1] = p3[1] OR len(list_intersect(list_intersect(p1, p2), p3)) > 0",
+    "pair_same": "p1 = p2 OR p1 = p3 OR p2 = p3", "pair_first": "p1[1] = p2[1] OR p1[1] = p3[1] OR p2[1] = p3[1]",
+    "pair_overlap": "list_has_any(p1, p2) OR list_has_any(p1, p3) OR list_has_any(p2, p3)",
+}
+A19_SQL = f"""{VOTED}, t AS ({TURNS.split(', turns AS (', 1)[1][:-1]}),
+n AS (SELECT movie, count(*) AS n_dialogs, CAST(sum(t) AS BIGINT) AS n_turns, CAST(sum(u) AS BIGINT) AS n_utts
+  FROM (SELECT movie, dialog_id, max(turn_no) AS t, count(*) AS u FROM t GROUP BY 1, 2) GROUP BY 1),
+s AS (SELECT movie, {", ".join(f"count(*) FILTER (WHERE {x}) AS {k}" for k, x in COUNTED.items())}, count(*) FILTER (WHERE main = 'NotSure') AS n_not_sure FROM voted GROUP BY 1)
+SELECT n.*, s.* EXCLUDE (movie), round(n_turns / n_dialogs, 6) AS turns_per_dialog, round(n_utts / n_turns, 6) AS utts_per_turn, {", ".join(f"round({k} / n_utts, 6) AS {k}_rate" for k in COUNTED)}
+FROM n JOIN s USING (movie)"""
 
-    got = movie_statistics(voted(spark, d))
-    return got.select("movie", "n_dialogs", "n_turns", "n_utts", "all_same", "pair_same", "n_not_sure", *[F.round(x, 6).alias(x) for x in ("turns_per_dialog", "utts_per_turn", "all_same_rate")])
+
+@query("A19_movie_statistics", A19_SQL)
+def a19(spark, d):
+    return doubles_rounded(corpus.movie_statistics(voted(spark, d)))
 
 
 @query("A23_smooth_uncertain", f"{VOTED} SELECT utt_id, CASE WHEN main IN ('NotSure', 'Other') AND ms = speaker AND mm NOT IN ('NotSure', 'Other') THEN mm ELSE main END AS smoothed FROM (SELECT utt_id, main, speaker, CASE WHEN row_number() OVER w = 1 THEN lead(main) OVER w ELSE lag(main) OVER w END AS mm, CASE WHEN row_number() OVER w = 1 THEN lead(speaker) OVER w ELSE lag(speaker) OVER w END AS ms FROM voted WINDOW w AS (PARTITION BY movie ORDER BY dialog_id, pos))")

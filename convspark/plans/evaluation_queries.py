@@ -165,7 +165,7 @@ def e14(spark, d):
     return E.latest_log_per_run(preds(spark, d).select("run", F.expr(_STAMP).alias("path")).distinct(), "run").drop("logged_at")
 
 
-@query("E15_summarise_runs", f"{PREDS}, m AS ({METRICS}), v AS (SELECT a.run, a.epoch, a.wa AS val, b.wa AS tst FROM m a JOIN m b ON a.run = b.run AND a.epoch = b.epoch AND a.part = 0 AND b.part = 1), r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY val, epoch) AS low, row_number() OVER (PARTITION BY run ORDER BY epoch) AS k FROM v) SELECT run, round(avg(tst) FILTER (WHERE low > 1), 6) AS mean_tst, max(tst) FILTER (WHERE k = 1) AS tst_1, max(tst) FILTER (WHERE k = 2) AS tst_2 FROM r GROUP BY 1")
+@query("E15_summarise_runs", f"{PREDS}, m AS ({METRICS}), v AS (SELECT a.run, a.epoch, a.wa AS val, b.wa AS tst FROM m a JOIN m b ON a.run = b.run AND a.epoch = b.epoch AND a.part = 0 AND b.part = 1), r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY val, epoch) AS low FROM v), s AS (SELECT *, row_number() OVER (PARTITION BY run, low > 1 ORDER BY epoch) AS k FROM r) SELECT run, round(avg(tst) FILTER (WHERE low > 1), 6) AS mean_tst, max(tst) FILTER (WHERE low > 1 AND k = 1) AS tst_1, max(tst) FILTER (WHERE low > 1 AND k = 2) AS tst_2 FROM s GROUP BY 1")
 def e15(spark, d):
     wide = metrics(spark, d).groupBy("run", "epoch").pivot("part", [0, 1]).agg(F.first("wa")).select("run", "epoch", F.col("0").alias("val"), F.col("1").alias("tst")).dropna()
     return rounded(E.summarise_runs(wide, ["run"], "val", ["tst"], "epoch"), "mean_tst")

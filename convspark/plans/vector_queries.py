@@ -117,11 +117,31 @@ def v17(spark, d):
     return dims.select("user_id", F.explode("dims").alias("modality", "dim"), sums.alias("total"))
 
 
-@query("V18_batch_and_pad", f"{PACK}, b AS (SELECT dialog_id, len(t) AS n, (row_number() OVER (ORDER BY dialog_id) - 1) // 7 AS batch FROM p), l AS (SELECT *, max(n) OVER (PARTITION BY batch) AS longest FROM b) SELECT dialog_id, batch, longest, array_to_string(list_transform(range(longest), lambda i: CASE WHEN i < n THEN '1' ELSE '0' END), '') AS mask FROM l")
+V18_SQL = f"""{CONV}, p AS (
+  SELECT dialog_id, count(*) AS n, list({{'label': pos % 7, 'tokens': list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')[1:MOST]}} ORDER BY pos) AS t
+  FROM conv GROUP BY 1),
+b AS (SELECT *, (row_number() OVER (ORDER BY dialog_id) - 1) // 7 AS batch FROM p),
+l AS (SELECT *, max(n) OVER w AS longest, max(list_max(list_transform(t, lambda x: len(x.tokens)))) OVER w AS width, count(*) OVER w AS k FROM b WINDOW w AS (PARTITION BY batch))
+SELECT dialog_id, batch, longest, array_to_string(list_transform(range(longest), lambda i: CASE WHEN i < n THEN '1' ELSE '0' END), '') AS mask,
+  array_to_string(list_transform(range(longest), lambda i: CAST(CASE WHEN i < n THEN t[i + 1].label ELSE -1 END AS VARCHAR)), ' ') AS labels,
+  array_to_string(list_transform(range(longest), lambda i: CASE WHEN i < n THEN 'f' ELSE 't' END), '') AS padded,
+  array_to_string(list_transform(range(longest), lambda i: array_to_string(CASE WHEN i < n
+    THEN list_concat(t[i + 1].tokens, list_transform(range(width - len(t[i + 1].tokens)), lambda j: '_')) ELSE list_transform(range(width), lambda j: '_') END, ' ')), '|') AS tokens
+FROM l WHERE k = 7""".replace("MOST", "9")
+
+
+@query("V18_batch_and_pad", V18_SQL)
 def v18(spark, d):
-    pad = F.struct(F.lit(-1).cast("long").alias("pos"), F.lit("").alias("k"), F.lit("").alias("speaker"), F.lit(0).alias("n"))
-    done = T.batch_and_pad(packs(spark, d), "turns", "dialog_id", 7, pad)
-    return done.filter(F.size("turns") == c("longest")).select("dialog_id", "batch", c("longest").cast("long").alias("longest"), F.array_join(c("mask").cast("array<string>"), "").alias("mask"))
+    tokens = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    rows = conv(spark, d).withColumns({"k": F.concat_ws("_", "dialog_id", "pos"), "label": (c("pos") % 7).cast("long"), "tokens": tokens})
+    dialogs = T.pack_dialogs(rows.select("dialog_id", "pos", "speaker", "k"), rows.select("k", "label", "tokens"), "k", ["label", "tokens"])
+    pad = F.struct(F.lit(None).cast("long").alias("pos"), F.lit("").alias("k"), F.lit("").alias("speaker"), F.lit(-1).cast("long").alias("label"), F.array().cast("array<string>").alias("tokens"))
+    done = T.batch_and_pad(dialogs, "turns", "dialog_id", 7, pad, drop_last=True, tokens="tokens", max_tokens=9, filler=F.lit("_"))
+    line = lambda f: F.transform("turns", f)
+    return done.select(
+        "dialog_id", "batch", c("longest").cast("long").alias("longest"), F.array_join(c("mask").cast("array<string>"), "").alias("mask"), F.array_join(line(lambda t: t["label"].cast("string")), " ").alias("labels"),
+        F.array_join(F.transform("padded", lambda x: F.when(x, "t").otherwise("f")), "").alias("padded"), F.array_join(line(lambda t: F.array_join(t["tokens"], " ")), "|").alias("tokens"),
+    )
 
 
 @query("V19_length_mask", f"{PACK} SELECT dialog_id, len(t) AS n FROM p")
@@ -245,9 +265,7 @@ def f8(spark, d):
 
 @query("F9_best_worst_match", f"{SIMS}, r AS (SELECT *, row_number() OVER (PARTITION BY dialog, frame, speaker ORDER BY round(sim, 9) DESC, face_idx) AS b, row_number() OVER (PARTITION BY dialog, frame, speaker ORDER BY round(sim, 9), face_idx) AS w FROM sims) SELECT dialog, frame, speaker, max(face_idx) FILTER (WHERE b = 1) AS best, max(face_idx) FILTER (WHERE w = 1) AS worst FROM r GROUP BY 1, 2, 3")
 def f9(spark, d):
-    s = F.round("sim", 9)
-    best = X.best_match(sims(spark, d), s).withColumnRenamed("face_idx", "best")
-    return best.join(X.best_match(sims(spark, d), -s).withColumnRenamed("face_idx", "worst"), ["dialog", "frame", "speaker"])
+    return X.best_match(sims(spark, d), F.round("sim", 9))
 
 
 def links(spark, d):
