@@ -85,7 +85,7 @@ _RESULT = r"(Val|Tst) .*(?:WF1-result| F1-result) WA: ([0-9.]+) UAR: ([0-9.]+) F
 def parse_logs(lines: DataFrame, line: str = "line", path: str = "path") -> DataFrame:
     """Path, part, wa, uar, f1, wf1 of the result lines of logs."""
     field = lambda k: F.regexp_extract(line, _RESULT, k)
-    return lines.filter(field(1) != "").select(path, field(1).alias("part"), *[field(k).cast("double").alias(n) for k, n in enumerate(("wa", "uar", "f1", "wf1"), 2)])
+    return lines.filter(field(1) != "").select(path, field(1).alias("part"), *[field(k).try_cast("double").alias(n) for k, n in enumerate(("wa", "uar", "f1", "wf1"), 2)])
 
 
 def parse_run_logs(spark: SparkSession, path: str) -> DataFrame:
