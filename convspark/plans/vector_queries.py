@@ -310,7 +310,7 @@ def f14(spark, d):
 
 @query("F15_cluster_kmeans")
 def f15(spark, d):
-    return ml.cluster_kmeans(emb(spark, d).select("vec_id", "label", "embedding"), "embedding", 4).select("vec_id", "cluster")
+    return ml.cluster_kmeans(emb(spark, d).select("vec_id", "label", "embedding"), "embedding", 4).select("vec_id", "cluster", F.round("distance", 6).alias("distance"))
 
 
 EPS, MIN_SAMPLES = 7.5, 4
