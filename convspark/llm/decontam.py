@@ -3,15 +3,17 @@
 A test item of m code points allows m // PER_ERROR errors. Cut into one piece more than that, at least one piece of any
 match is intact. An Aho-Corasick automaton finds exact pieces in whole documents; the stretch around each hit, unless it
 lacks too many of the item's short runs to match, is verified with Myers' bit-parallel edit distance. Test items are
-read in blocks of bounded size, each broadcast once and run against all documents.
+read in blocks of bounded size, each broadcast once; documents are read once, and each batch of them meets all blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convspark.llm.common import only
@@ -139,25 +141,44 @@ def find_items(text: str, automaton, table: list[tuple]) -> list[tuple[int, int,
     return found
 
 
-def _search(shared):
+def _searched(shared: list, texts: list[str | None]) -> Iterator[tuple[int, tuple[int, int, int]]]:
+    """Place of a text and (item_id, distance, end) of what it holds, one block of items after the other."""
+    clean = [normal(t) for t in texts]
+    for block in shared:
+        key = id(block.value)
+        if key not in _AUTOMATA:  # one is held at a time
+            _AUTOMATA.clear()
+            _AUTOMATA[key] = (*_automaton(block.value), block.value)
+        automaton, table, _ = _AUTOMATA[key]
+        for k, text in enumerate(clean):
+            for hit in find_items(text, automaton, table):
+                yield k, hit
+
+
+def _search(shared: list):
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = id(shared.value)
-        if key not in _AUTOMATA:
-            _AUTOMATA.clear()
-            _AUTOMATA[key] = (*_automaton(shared.value), shared.value)
-        automaton, table, _ = _AUTOMATA[key]
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                rows.extend((doc_id, *hit) for hit in find_items(normal(text.as_py()), automaton, table))
+            ids = batch.column("doc_id").to_pylist()
+            rows = [(ids[k], *hit) for k, hit in _searched(shared, batch.column("text").to_pylist())]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=schema)
 
     return run
 
 
+def _holds(shared: list) -> Callable[..., Column]:
+    @F.pandas_udf("boolean")
+    def run(texts: pd.Series) -> pd.Series:
+        held = np.zeros(len(texts), dtype=bool)
+        for k, _ in _searched(shared, [t if isinstance(t, str) else None for t in texts]):
+            held[k] = True
+        return pd.Series(held)
+
+    return run
+
+
 def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
     block, size = [], 0
     for row in items.toLocalIterator():
@@ -180,22 +201,29 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     where the first best stretch ends in the normalised document. Items of under PER_ERROR code points must occur as
     they are, between spaces. Null and empty texts and items hold and match nothing; rows that repeat an id each count.
     """
-    spark = docs.sparkSession
     docs = only(docs, "doc_id", "text")
-    schema = "doc_id long, item_id long, distance long, end long"
-    found = None
-    for block in _blocks(only(items, "item_id", "text")):
-        part = docs.mapInArrow(_search(spark.sparkContext.broadcast(block)), schema)
-        found = part if found is None else found.union(part)
-    return spark.createDataFrame([], schema) if found is None else found
+    return docs.mapInArrow(_search(_shared(items)), "doc_id long, item_id long, distance long, end long")
+
+
+def _shared(items: DataFrame) -> list:
+    """Broadcasts of the items in blocks of BLOCK_CHARS code points; all documents are read once, for all of them."""
+    return [items.sparkSession.sparkContext.broadcast(block) for block in _blocks(only(items, "item_id", "text"))]
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without the documents that hold a test item."""
+    """docs without the documents that hold a test item, by their ids: rows that repeat a doc_id go together, as do those
+    without one. Null and empty texts hold nothing; without items all rows stay; an empty table gives no rows."""
     hits = contaminated(docs, items).select(F.col("doc_id").alias("hit_id")).distinct()
     return docs.join(hits, docs["doc_id"].eqNullSafe(hits["hit_id"]), "left_anti")
 
 
+def rows_without_items(docs: DataFrame, items: DataFrame, *columns: str) -> DataFrame:
+    """The named columns of docs, text among them, of the rows whose text holds no test item. Decided row by row, whatever
+    their ids: texts go to Python, and only the decision comes back. Null and empty texts hold nothing; without items all
+    rows stay; an empty table gives no rows."""
+    return only(docs, *columns).withColumn("_held", _holds(_shared(items))("text")).filter("NOT _held").drop("_held")
+
+
 def brute(docs: list[tuple], items: list[tuple]) -> set[tuple]:
     """(doc_id, item_id, distance) by the whole table of edit distances, for tests."""
     out = set()
