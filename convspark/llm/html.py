@@ -8,8 +8,10 @@ if that one's children sum to a third as much); of what is beside the path thinn
 are lists of links inside.
 
 Before that, elements that a page uses for something else than its text go, by their tags (NOT_TEXT) and by words in
-their class, id and role (NOT_TEXT_NAMES): the named furniture of a page, which can be as dense as its text. That an
-element is an article or main decides nothing, but that names on it and around it count less.
+their class, id and role (NOT_TEXT_NAMES): the named furniture of a page, which can be as dense as its text. A name that
+only begins with such a word, as `search-results` does, removes nothing that holds the densest block, and one that says
+what an element has or lacks, as `no-sidebar` does, removes nothing. That an element is an article or main decides
+nothing, but that names on it and around it count less.
 """
 
 from __future__ import annotations
@@ -43,6 +45,10 @@ NOT_TEXT_NAMES = frozenset(
     "sidebar sidebars rail widget widgets aside complementary footer header masthead comment comments commentlist reply replies discussion disqus respond "
     "share sharing social related recommended recommendations trending toolbar skip contentinfo search dialog alertdialog form tags".split()
 )
+#: Words of a name that say what an element has or lacks, not what it is.
+MODIFIERS = frozenset("no not non has have with without".split())
+#: What readers write can be longer than the text: these words remove wherever they stand in a name.
+READERS = frozenset("comment comments commentlist reply replies discussion disqus respond".split())
 ARTICLE_NAMES = frozenset("ad advert advertisement sponsored promo comment reply related recommended".split())
 CONTENT = frozenset(("article", "main"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -56,11 +62,15 @@ _HIDDEN = re.compile(r"\shidden(?=[\s=/]|\Z)|\saria-hidden\s*=\s*[\"']?true|disp
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
+#: How an element is marked as something else than text.
+NONE, WEAK, STRONG = 0, 1, 2
+
+
 class Node:
-    __slots__ = ("tag", "parts", "parent", "dropped", "block", "open", "chars", "tags", "link_chars", "link_tags", "sum", "density")
+    __slots__ = ("tag", "parts", "parent", "dropped", "weak", "block", "open", "chars", "tags", "link_chars", "link_tags", "sum", "density")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool):
-        self.tag, self.parent, self.dropped, self.parts = tag, parent, dropped, []
+    def __init__(self, tag: str, parent: Node | None, mark: int):
+        self.tag, self.parent, self.dropped, self.weak, self.parts = tag, parent, mark > 0, mark == WEAK, []
         # the block around it, and how many inline elements a block has open of each tag, so that no end looks in vain
         self.block = self if parent is None or tag in BLOCK else parent.block
         self.open: dict[str, int] = {}
@@ -68,26 +78,33 @@ class Node:
         self.sum = self.density = 0.0
 
 
-def _marked(tag: str, attributes: str, inside: bool) -> bool:
+def _marked(tag: str, attributes: str, inside: bool) -> int:
     """Whether an element is something else than text; inside: of an article, whose own header counts as text."""
     if tag in NOT_TEXT or tag == "header" and not inside:
-        return True
+        return STRONG
     if not attributes or tag in ("html", "body", "main"):
-        return False
+        return NONE
     if _HIDDEN.search(attributes):
-        return True
+        return STRONG
+    names = NOT_TEXT_NAMES
+    if tag == "article":  # named after what stands in it or beside it, too
+        names = ARTICLE_NAMES
+    elif inside:
+        names = NOT_TEXT_NAMES - {"header"}
+    mark = NONE
     for m in _NAME.finditer(" " + attributes):
-        words = {w.lower() for w in _WORD.findall(m[2] or m[3] or m[4] or "")}
-        if tag == "article":  # named after what stands in it or beside it, too
-            words &= ARTICLE_NAMES
-        if words & NOT_TEXT_NAMES and not (inside and words & {"header"} and not words & (NOT_TEXT_NAMES - {"header"})):
-            return True
-    return False
+        for name in (m[2] or m[3] or m[4] or "").split():
+            words = [w.lower() for w in _WORD.findall(name)]
+            if not names.isdisjoint(words) and MODIFIERS.isdisjoint(words):
+                if words[-1] in names or not (names & READERS).isdisjoint(words):
+                    return STRONG
+                mark = WEAK
+    return mark
 
 
 def parse(page: str) -> Node:
     """The tree of a page, however broken: open elements end with their parent, stray ends are passed over."""
-    root = node = Node("html", None, False)
+    root = node = Node("html", None, NONE)
     articles, seen, at, n = 0, False, 0, len(page)
     blocks: dict[str, int] = {}  # open ones by tag
 
@@ -162,6 +179,8 @@ def measure(root: Node) -> list[Node]:
     """Set counts, densities and density sums of all kept nodes; the nodes, children first."""
     nodes = list(_walk(root))[::-1]
     for node in nodes:
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
+        node.density = 0.0
         for p in node.parts:
             if isinstance(p, Node):
                 if not p.dropped:
@@ -225,16 +244,42 @@ def _blocks(top: Node, core: Node, threshold: float) -> list[str]:
     return out
 
 
+def _core(root: Node, nodes: list[Node]) -> Node:
+    core = max(reversed(nodes), key=lambda x: x.sum)
+    return root if core.sum == 0 else core.block
+
+
+def _settled(root: Node) -> list[Node]:
+    """Measured nodes, without the weakly marked ones but for those that hold the densest block of all."""
+    weak, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if node.weak and node.dropped:
+            weak.append(node)
+        if not node.dropped or node.weak:
+            stack.extend(p for p in node.parts if isinstance(p, Node))
+    if not weak:
+        return measure(root)
+    for node in weak:
+        node.dropped = False
+    up, holders = _core(root, measure(root)), set()
+    while up is not None:
+        holders.add(id(up))
+        up = up.parent
+    for node in weak:
+        node.dropped = id(node) not in holders
+    return measure(root)
+
+
 def main_text(page: str | None) -> str:
     """The main text of a page; empty if there is none."""
     if not page:
         return ""
     root = parse(page)
-    nodes = measure(root)
+    nodes = _settled(root)
     if not root.chars:
         return ""
-    core = max(reversed(nodes), key=lambda x: x.sum)
-    core = root if core.sum == 0 else core.block
+    core = _core(root, nodes)
     threshold, up = core.density, core
     while up is not None and up.tag != "html":
         if up.density:

@@ -14,6 +14,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +25,8 @@ from convspark.llm.langid import sample_by_class
 #: Labelled texts of either class that are fitted on, half of them for the dictionaries; every text is scored whole.
 PER_CLASS = 2000
 BLOCK, DICTIONARY, LEVEL = 512, 1 << 16, 3
-#: Blocks of one text that a dictionary is trained on, spread evenly over it, so that no text fills it.
-BLOCKS_OF_ONE = 40
+#: Blocks that a dictionary is trained on: about so many at most, of all of its texts' blocks by a hash, wherever they lie.
+BLOCKS = 40_000
 
 
 class Model(NamedTuple):
@@ -38,10 +39,10 @@ def blocks(text: bytes) -> list[bytes]:
     return [text[i : i + BLOCK] for i in range(0, len(text), BLOCK)]
 
 
-def spread(text: bytes) -> list[bytes]:
-    """At most BLOCKS_OF_ONE of a text's blocks, from all of it."""
+def sampled(text: bytes, share: float) -> list[bytes]:
+    """A text's blocks, each kept with the probability share, by its place and content."""
     own = blocks(text)
-    return [own[k] for k in np.unique(np.linspace(0, len(own) - 1, BLOCKS_OF_ONE).astype(int))] if own else []
+    return own if share >= 1 else [b for k, b in enumerate(own) if xxhash.xxh64_intdigest(b, k) < share * 2**64]
 
 
 def _dictionary(parts: list[bytes]) -> bytes:
@@ -72,10 +73,13 @@ def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return w
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        parts = [spread(t) for t in utf8(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(parts, pa.list_(pa.binary()))], names=["doc_id", "quality", "parts"])
+def _cut(shares: dict[int, float]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [sampled(t, shares[q]) for t, q in zip(utf8(batch.column("text")), batch.column("quality").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(parts, pa.list_(pa.binary()))], names=["doc_id", "quality", "parts"])
+
+    return run
 
 
 def _measured(shared):
@@ -102,7 +106,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     texts = docs.filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").dropDuplicates(["doc_id", "text", "quality"])
     first = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 0
     place = lambda r: (r["doc_id"] * 0x9E3779B1 % (1 << 32), r["quality"], r[2])
-    parts = sorted(texts.filter(first).mapInArrow(_cut, "doc_id long, quality int, parts array<binary>").collect(), key=place)
+    size = F.sum(F.ceil(F.octet_length("text") / BLOCK))
+    shares = {r["quality"]: BLOCKS / max(1, r["n"]) for r in texts.filter(first).groupBy("quality").agg(size.alias("n")).collect()}
+    parts = sorted(texts.filter(first).mapInArrow(_cut(shares), "doc_id long, quality int, parts array<binary>").collect(), key=place)
     bad, good = (_dictionary([bytes(b) for r in parts if r["quality"] == q for b in r["parts"]]) for q in (0, 1))
     shared = docs.sparkSession.sparkContext.broadcast((bad, good))
     found = sorted(texts.filter(~first).mapInArrow(_measured(shared), "doc_id long, quality int, measure double").collect(), key=place)

@@ -34,16 +34,16 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = f"""
 WITH split AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+  SELECT place, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n
-  FROM documents),
+  FROM (SELECT *, row_number() OVER () AS place FROM documents)),
 keyed AS (
-  SELECT doc_id, n, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}') AS key
+  SELECT place, doc_id, n, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}') AS key
   FROM split),
-hot AS (SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+hot AS (SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT place) >= 10)
 SELECT doc_id, count(*) AS n_lines, count(hot.key) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE hot.key IS NULL), '')) AS kept_sha256
-FROM keyed LEFT JOIN hot USING (key) GROUP BY doc_id
+FROM keyed LEFT JOIN hot USING (key) GROUP BY place, doc_id
 """
 
 

@@ -90,3 +90,51 @@ def test_quality(spark):
     assert quality.score(d.limit(0), m).count() == 0
     assert {r.score for r in quality.score(d, m.limit(0)).collect()} == {0.5}
     assert quality.score(d, m.filter("quality = 1")).filter("predicted = 0").count() == 0
+
+
+def test_quality_against_brute(spark):
+    """The measure, curve and scores by their definitions from the same two dictionaries; no text of a class is cut short."""
+    import zstandard
+
+    rng = random.Random(9)
+    docs = [(i, text(rng, "xx" if i % 3 else "yy", 400 if i == 7 else 30)) for i in range(160)]
+    labels = [(i, int(i % 3 > 0)) for i in range(160)]
+    d, m = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    model = quality.train(d, m)
+    tools = [zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(x), write_content_size=False, write_dict_id=False) for x in (model.bad, model.good)]
+
+    def measured(t):
+        raw = t.encode()
+        sizes = [sum(len(z.compress(raw[k : k + quality.BLOCK])) for k in range(0, len(raw), quality.BLOCK)) for z in tools]
+        return (sizes[0] - sizes[1]) / max(1, len(raw))
+
+    got = quality.score(d, m, modulus=1, held=1).collect()
+    want = {i: 1 / (1 + np.exp(-(model.curve[0] + model.curve[1] * measured(t)))) for i, t in docs}
+    assert len(got) == 160 and all(abs(r.score - want[r.doc_id]) < 1e-9 and r.predicted == int(r.score >= 0.5) for r in got)
+    assert np.mean([r.predicted == dict(labels)[r.doc_id] for r in got]) > 0.95
+    long = bytes(range(256)) * 400
+    assert b"".join(quality.sampled(long, 1.0)) == long and 0 < len(quality.sampled(long, 0.3)) < 100
+
+
+def test_language_against_brute(spark):
+    """Every text's language and score by the plain kernel machine on the same sample."""
+    rng = random.Random(12)
+    rows = [(i, text(rng, lang, 12), lang) for i, lang in enumerate(rng.choices(list(SYLLABLES), k=90))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid.identify(df).collect()}
+    learned = sorted(((lang, i * 0x9E3779B1 % (1 << 32), t) for i, t, lang in rows if not held(i, 4, 2)))
+    sets = [langid.presence(t) for _, _, t in learned]
+    names = sorted(SYLLABLES)
+    kernel = lambda a, b: len(np.intersect1d(a, b)) / np.sqrt(len(a) * len(b))
+    gram = np.array([[kernel(a, b) for b in sets] for a in sets])
+    values, vectors = np.linalg.eigh(gram)
+    keep = values > 1e-6
+    half = vectors[:, keep] / np.sqrt(values[keep]) @ vectors[:, keep].T
+    features, target = gram @ half, np.array([[1.0 if own == lang else -1.0 for lang in names] for own, _, _ in learned])
+    weight = np.array([len(learned) / (len(names) * sum(x[0] == own for x in learned)) for own, _, _ in learned])[:, None]
+    machine = half @ np.linalg.solve(features.T @ (weight * features) + langid.RIDGE * np.eye(len(half)), features.T @ (weight * target))
+    for i, t, _ in rows:
+        own = langid.presence(t)
+        outputs = np.array([kernel(own, s) for s in sets]) @ machine
+        likely = np.exp(langid.SHARPNESS * (outputs - outputs.max()))
+        assert got[i].lang_pred == names[outputs.argmax()] and abs(got[i].score - likely.max() / likely.sum()) < 2e-2

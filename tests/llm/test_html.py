@@ -96,6 +96,38 @@ def page_with(parts):
     return f"<html><body><div class='menu'><a href=a>{LONG}</a></div><div><h1></h1>{parts}</div><div>Powered by x</div></body></html>"
 
 
+def test_names_that_begin_like_furniture():
+    """Such names remove nothing that holds the text, and furniture of those names goes where it doesn't."""
+    menu, aside = "<div class='menu'><a href=a>x</a></div>", f"<div class='{{}}'><p>{LONG}</p></div>"
+    names = "content no-sidebar|search-results|article-with-comments|post tags-news|social-history|main-content has-rail|related-work|share-prices"
+    for name in names.split("|"):
+        body = f"{menu}<div class='{name}'>{f'<p>{LONG}</p>' * 3}</div>"
+        assert html.main_text(page(body)) == "\n".join([LONG] * 3), name
+    for name in ("sidebar", "left-sidebar", "sidebar-left", "share-buttons", "related-posts", "comment-list"):
+        body = f"{menu}<div id=text>{f'<p>{LONG}</p>' * 3}</div>{aside.format(name)}"
+        assert html.main_text(page(body)) == "\n".join([LONG] * 3), name
+    # readers may write more than the author
+    body = f"{menu}<div id=text>{f'<p>{LONG}</p>' * 3}</div><div class='comment-list'>{f'<p>{LONG}</p>' * 9}</div>"
+    assert html.main_text(page(body)) == "\n".join([LONG] * 3)
+
+
+def test_choice_against_brute():
+    """The chosen texts of small pages whose blocks are dense or not: the paragraphs of the block of the largest sum."""
+    rng = random.Random(6)
+    for _ in range(60):
+        blocks = [(rng.randrange(1, 6), rng.random() < 0.4) for _ in range(rng.randrange(1, 5))]
+        if not any(not linked for _, linked in blocks):
+            continue
+        parts = []
+        for n, linked in blocks:
+            line = f"<p><a href=x>{LONG}</a> <a href=y>more</a></p>" if linked else f"<p>{LONG}</p>"
+            parts.append(f"<div>{line * n}</div>")
+        best = max(n for n, linked in blocks if not linked)
+        got = html.main_text(page("<div>" + "".join(f"<div class=wrap>{p}</div>" for p in parts) + "</div>")).split("\n")
+        assert set(got) == {LONG} and len(got) >= best
+        assert len(got) <= sum(n for n, linked in blocks if not linked)
+
+
 def test_hostile_nesting():
     n = 100_000
     for hostile in ("<b>" * n + "</i>" * n, "<span>" * n + "<p>" * n, "<i><div>" + "<b>" * n + "</i>" * n, "<span>" * n + "<p>x" * n):

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from convspark.llm import lines, simhash
+from convspark.llm import lines, queries, simhash
 
 DOCS = "doc_id long, text string, key string, n_docs int, lang string"
 
@@ -28,6 +28,20 @@ def test_lines_against_brute(spark, monkeypatch, broadcast_bits):
         assert got == sorted(lines.brute(texts, min_docs, min_chars), key=repr)
 
 
+def test_sql_of_lines_counts_rows(spark, tmp_path):
+    """Rows that repeat a doc_id, or have none, are documents of their own to the operator and to its SQL."""
+    duck = pytest.importorskip("duckdb").connect()
+    texts = [(7, f"same\nown {i}") for i in range(10)] + [(None, "few"), (None, None), (8, " FEW\t\nx"), (9, "")] + [(20 + i, "few") for i in range(6)]
+    df = make(spark, texts)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = duck.execute(queries.OP5_SQL)
+    order = [[d[0] for d in found.description].index(c) for c in ("doc_id", "n_lines", "n_dropped", "kept_sha256")]
+    want = sorted((tuple(r[k] for k in order) for r in found.fetchall()), key=repr)
+    assert rows(lines.kept_digest(lines.dedup_lines(df)), "doc_id", "n_lines", "n_dropped", "kept_sha256") == want
+    assert sum(r[2] for r in want) == 10
+
+
 def test_lines_keep_first_and_empty(spark):
     texts = [(3, "a\nb\nA"), (1, "c\na\na"), (2, None)]
     got = rows(lines.dedup_lines(make(spark, texts), min_docs=2, keep="first"), "doc_id", "kept")
