@@ -31,6 +31,17 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+_CACHES: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """What an operator keeps in a Python worker from task to task. Workers outlive their stage: all that other operators
+    keep in this one is dropped first, so that one stage's vocabulary is not held through the next ones."""
+    for name in [k for k in _CACHES if k != owner]:
+        _CACHES.pop(name).clear()
+    return _CACHES.setdefault(owner, {})
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -16,14 +16,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convspark.llm.common import only
+from convspark.llm.common import only, worker_cache
 
 PER_ERROR = 10
 #: An error changes at most GRAM of an item's runs of GRAM code points, so a stretch that lacks more is no match.
 GRAM = 5
 #: Code points of test items in one block, which bounds what is broadcast.
 BLOCK_CHARS = 1_000_000
-_AUTOMATA: dict[int, tuple] = {}
 
 
 def normal(text: str | None) -> str:
@@ -145,11 +144,11 @@ def _searched(shared: list, texts: list[str | None]) -> Iterator[tuple[int, tupl
     """Place of a text and (item_id, distance, end) of what it holds, one block of items after the other."""
     clean = [normal(t) for t in texts]
     for block in shared:
-        key = id(block.value)
-        if key not in _AUTOMATA:  # one is held at a time
-            _AUTOMATA.clear()
-            _AUTOMATA[key] = (*_automaton(block.value), block.value)
-        automaton, table, _ = _AUTOMATA[key]
+        key, held = id(block.value), worker_cache("decontam")
+        if key not in held:  # one at a time
+            held.clear()
+            held[key] = (*_automaton(block.value), block.value)
+        automaton, table, _ = held[key]
         for k, text in enumerate(clean):
             for hit in find_items(text, automaton, table):
                 yield k, hit

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convspark.llm.common import crc_mod, only
+from convspark.llm.common import crc_mod, only, worker_cache
 
 GRAMS = 4
 #: Hash buckets for each length of run.
@@ -138,6 +138,7 @@ def _predictor(shared) -> Callable[..., Column]:
 
     @F.pandas_udf("lang_pred string, score double, has_letter boolean")
     def run(texts: pd.Series) -> pd.DataFrame:
+        worker_cache("langid")
         values, langs, scores = [t if isinstance(t, str) else None for t in texts], [], []
         for at in range(0, len(values), 128):
             found = predict(shared.value, values[at : at + 128])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from convspark.llm.common import cut, only, utf8
+from convspark.llm.common import cut, only, utf8, worker_cache
 
 CAPACITY = 4096
 END_ID = 1
@@ -31,7 +31,6 @@ END_ID = 1
 CACHE_WORDS = 450_000
 #: Pieces that are ranked by one task.
 RANKED = 50_000
-_TOKENIZERS: dict[str, Words] = {}
 # How a tokenizer is set up under which words can be encoded by themselves.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 PRE_TOKENIZER = {
@@ -108,9 +107,10 @@ class Words:
 
 def text_ids(texts: list[bytes], path: str) -> list[bytes]:
     """Token ids of each text."""
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = Words(path)
-    return _TOKENIZERS[path].ids(texts)
+    known = worker_cache("packing")
+    if path not in known:
+        known[path] = Words(path)
+    return known[path].ids(texts)
 
 
 def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
