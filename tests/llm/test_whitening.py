@@ -21,7 +21,7 @@ def by_component(rows):
     return out
 
 
-@pytest.mark.parametrize("block", [1 << 19, 30])
+@pytest.mark.parametrize("block", [1 << 19, 90])
 def test_brute(spark, monkeypatch, block):
     monkeypatch.setattr(whitening, "BLOCK", block)
     monkeypatch.setattr(whitening, "GROUP", 3)
