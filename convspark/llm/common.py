@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -37,8 +39,15 @@ _CACHES: dict[str, dict] = {}
 def worker_cache(owner: str) -> dict:
     """What an operator keeps in a Python worker from task to task. Workers outlive their stage: all that other operators
     keep in this one is dropped first, so that one stage's vocabulary is not held through the next ones."""
-    for name in [k for k in _CACHES if k != owner]:
-        _CACHES.pop(name).clear()
+    if owner not in _CACHES:
+        for held in _CACHES.values():
+            held.clear()
+        _CACHES.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries keep freed memory until told
+        if trim is not None:
+            trim(0)
     return _CACHES.setdefault(owner, {})
 
 
