@@ -57,13 +57,14 @@ class Words:
     model, in lower case. Other words, and whole texts under other tokenizers, go through all of it.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHE_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.lately, self.before, self.stems, self.marks = Tokenizer.from_file(path), {}, {}, {}, {}
-        own = json.loads(self.tokenizer.to_str())
-        self.by_word = own["normalizer"] == NORMALIZER and own["pre_tokenizer"] == PRE_TOKENIZER and not any(t["normalized"] for t in own["added_tokens"])
+        self.tokenizer, self.most, self.lately, self.before, self.stems, self.marks = Tokenizer.from_file(path), most, {}, {}, {}, {}
+        # part by part: the whole of it as text and as a dictionary would hold the vocabulary twice more
+        alike = lambda part, wanted: part is not None and json.loads(part.__getstate__()) == wanted
+        self.by_word = alike(self.tokenizer.normalizer, NORMALIZER) and alike(self.tokenizer.pre_tokenizer, PRE_TOKENIZER) and not any(t.normalized for t in self.tokenizer.get_added_tokens_decoder().values())
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.bytes_of = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
 
@@ -76,14 +77,14 @@ class Words:
             return self.encode(word)
         letters, mark = m[1].lower(), m[2]
         if letters not in self.stems:
-            if len(self.stems) >= CACHE_WORDS:
+            if len(self.stems) >= self.most:
                 self.stems.clear()
             coded = letters if letters.isascii() else letters.translate(self.bytes_of)
             self.stems[letters] = struct.pack(f"<{len(ids := [t.id for t in self.tokenizer.model.tokenize(coded)])}I", *ids)
         if not mark:
             return self.stems[letters]
         if mark not in self.marks:
-            if len(self.marks) >= CACHE_WORDS:
+            if len(self.marks) >= self.most:
                 self.marks.clear()
             self.marks[mark] = self.encode(mark)
         return self.stems[letters] + self.marks[mark]
@@ -95,7 +96,7 @@ class Words:
         words = [t.split() for t in texts]
         met = set().union(*words)
         new = {w for w in met if w not in self.lately}
-        if len(self.lately) + len(new) > CACHE_WORDS:
+        if len(self.lately) + len(new) > self.most:
             self.lately, self.before, new = {}, self.lately, met
         known = {w for w in new if w in self.before}
         self.lately.update(zip(known, map(self.before.__getitem__, known), strict=True))
@@ -105,15 +106,16 @@ class Words:
         return [b"".join(map(find, ws)) for ws in words]
 
 
-def text_ids(texts: list[bytes], path: str) -> list[bytes]:
+def text_ids(texts: list[bytes], path: str, cache_words: int = CACHE_WORDS) -> list[bytes]:
     """Token ids of each text."""
     known = worker_cache("packing")
-    if path not in known:
-        known[path] = Words(path)
-    return known[path].ids(texts)
+    if (path, cache_words) not in known:
+        known.clear()
+        known[path, cache_words] = Words(path, cache_words)
+    return known[path, cache_words].ids(texts)
 
 
-def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
+def _pieces(path: str, capacity: int, end_id: int, with_ids: bool, cache_words: int):
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +123,7 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 rows: list[tuple] = []
-                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), text_ids(list(utf8(batch.column("text"))), path), strict=True):
+                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), text_ids(list(utf8(batch.column("text"))), path, cache_words), strict=True):
                     ids += end
                     for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[start : start + 4 * capacity]
@@ -134,10 +136,12 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
     return run
 
 
-def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and, if asked for, ids (binary, little-endian unsigned 32-bit)."""
+def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 and, if asked for, ids (binary, little-endian unsigned 32-bit).
+
+    Fewer cache_words take less of a worker's memory and more of its time; the rows are the same."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return only(docs, "doc_id", "text").mapInArrow(_pieces(path or default_tokenizer(), capacity, end_id, with_ids), schema)
+    return only(docs, "doc_id", "text").mapInArrow(_pieces(path or default_tokenizer(), capacity, end_id, with_ids, cache_words), schema)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
@@ -235,14 +239,14 @@ def assign(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.mapInArrow(_place(shared), f"{fields}, sequence_id long, offset long")
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, cache_words: int = CACHE_WORDS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: every document's tokens packed into sequences.
 
     A document is the ids of its whole text and end_id; longer ones are cut into pieces of `capacity` tokens. A null
     or empty text is end_id alone. Rows that repeat a doc_id are packed each; an empty table gives no rows. Other
     columns of docs are not read.
     """
-    return assign(cut(pieces(docs, path, capacity, end_id)), capacity)
+    return assign(cut(pieces(docs, path, capacity, end_id, cache_words=cache_words)), capacity)
 
 
 def packed_sequences(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convspark.llm import decontam, langid, lines, packing, resemblance
-from convspark.llm.common import stored, table
+from convspark.llm.common import arrow_batches, stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Words that a worker keeps while packing: fewer than by default, as the JVM has grown to its limit in the stages before.
+CACHE_WORDS = 60_000
+#: Rows sent to a Python worker at once: its batch, and the JVM's buffers for it, are held by each task at the same time.
+BATCH_ROWS = 1_000
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -64,7 +68,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Null and empty texts are an end alone; rows that repeat a doc_id are packed each; an empty table gives no rows.
     """
-    return packing.pack(docs)
+    return packing.pack(docs, cache_words=CACHE_WORDS)
 
 
 STAGES = [
@@ -79,9 +83,10 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed pieces of all documents that the stages keep."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with arrow_batches(spark, BATCH_ROWS):
+        for _, stage in STAGES[:-1]:
+            docs = stored(stage(spark, docs, sf_dir))
+        return STAGES[-1][1](spark, docs, sf_dir)
 
 
 #: SQL has neither the kernel machine, SimHash nor the tokenizer: run() is tested against a brute-force version.

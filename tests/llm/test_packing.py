@@ -106,3 +106,25 @@ def test_equal_rows_are_split(spark, monkeypatch):
         for at in range(r.offset, r.offset + r.length):
             assert taken.setdefault((r.sequence_id, at), r) is r
     assert len(taken) == sum(r.length for r in got) and max(at for _, at in taken) < 32
+
+
+def test_cache_of_a_run(spark, monkeypatch):
+    """The pipeline's packing keeps fewer words in a worker, takes smaller batches, and gives the same pieces; settings are put back."""
+    import corpus_pipeline
+
+    from convspark.llm.common import arrow_batches
+
+    words = packing.Words(packing.default_tokenizer(), 40)
+    texts = [" ".join(f"Word{chr(97 + (i * j) % 26)}x," for j in range(60)).encode() for i in range(30)]
+    assert words.by_word
+    assert [words.ids([t])[0] for t in texts] == packing.Words(packing.default_tokenizer()).ids(texts)
+    assert max(map(len, (words.lately, words.before, words.stems, words.marks))) <= 60
+    assert corpus_pipeline.CACHE_WORDS < packing.CACHE_WORDS
+    docs = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    with arrow_batches(spark, 7):
+        assert spark.conf.get(name) == "7"
+        small = {tuple(r) for r in packing.pieces(docs, cache_words=40).collect()}
+    assert spark.conf.get(name) == before
+    assert small == {tuple(r) for r in packing.pieces(docs).collect()}
