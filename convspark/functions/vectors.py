@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +12,12 @@ def doubles(v: Column) -> Column:
     return v.cast("array<double>")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once a row: a column named inside a function of array entries is computed for each
+    entry."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
 
@@ -36,14 +42,14 @@ def euclidean(a: Column, b: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """Of length 1; null for a vector of no length."""
-    return F.when(norm(v) > 0, F.transform(v, lambda x: x / norm(v)))
+    return bound(norm(v), lambda length: F.when(length > 0, F.transform(v, lambda x: x / length)))
 
 
 def pool_mean(ft: Column, drop_edges: bool = False) -> Column:
     """V1: mean over time; drop_edges leaves out the first and last step. Null if nothing is left."""
     rows = F.slice(ft, F.lit(2), F.greatest(F.size(ft) - 2, F.lit(0))) if drop_edges else ft
     sums = F.aggregate(rows, F.transform(rows[0], lambda x: F.lit(0.0)), lambda acc, row: F.zip_with(acc, row, lambda a, x: a + x))
-    return F.transform(sums, lambda x: x / F.size(rows))
+    return bound(F.size(rows), lambda n: F.transform(sums, lambda x: x / n))
 
 
 def pool_first(ft: Column) -> Column:
@@ -85,15 +91,15 @@ def pad_to(v: Column, n: int | Column, zero: Column | None = None) -> Column:
 
 def zscore(v: Column) -> Column:
     """V9: by a row's own mean and population deviation; 0 where that is 0."""
-    mean = total(v) / F.size(v)
-    dev = F.sqrt(total(F.transform(v, lambda x: (x - mean) * (x - mean))) / F.size(v))
-    return F.transform(v, lambda x: F.coalesce(F.try_divide(x - mean, dev), F.lit(0.0)))
+    scaled = lambda mean, dev: F.transform(v, lambda x: F.coalesce(F.try_divide(x - mean, dev), F.lit(0.0)))
+    dev = lambda mean: F.sqrt(F.try_divide(total(F.transform(v, lambda x: (x - mean) * (x - mean))), F.size(v)))
+    return bound(F.try_divide(total(v), F.size(v)), lambda mean: bound(dev(mean), lambda d: scaled(mean, d)))
 
 
 def scale_minmax(v: Column, low: float = 0.0, high: float = 1.0) -> Column:
     """0 where largest and least are the same."""
-    a, b = F.array_min(v), F.array_max(v)
-    return F.transform(v, lambda x: F.when(b == a, F.lit(0.0)).otherwise((x - a) / (b - a) * (high - low) + low))
+    scaled = lambda a, b: F.transform(v, lambda x: F.when(b == a, F.lit(0.0)).otherwise((x - a) / (b - a) * (high - low) + low))
+    return bound(F.struct(F.array_min(v).alias("a"), F.array_max(v).alias("b")), lambda ends: scaled(ends["a"], ends["b"]))
 
 
 def scale_by(v: Column, divisor: float) -> Column:

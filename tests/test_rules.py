@@ -1,5 +1,7 @@
 """Hand-written cases of rules that are easy to get wrong."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +117,15 @@ def test_subtitle_files(spark, tmp_path):
     (tmp_path / "film_2.srt").write_text("1\n00:00:01,000 --> 00:00:02,010\nHello\n\n\n00:00:03,000 --> 00:00:04,000\nno index\n\n2\n00:00:05,000 --> 00:00:06,000\nBye\n\n")
     got = files.annotation_template(files.parse_subtitles(spark, str(tmp_path))).collect()
     assert [(r.utt_id, r.start_tc, r.end_tc, r.text) for r in got] == [("film_2_1", "00:00:01:00", "00:00:02:01", "Hello"), ("film_2_2", "00:00:05:00", "00:00:06:00", "Bye")]
+
+
+def test_row_values_are_computed_once(spark):
+    """A row's mean, deviation, ends and length are not computed for each entry: 20,000 entries would take their square or cube."""
+    df = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(20_000)), lambda x: x.cast("double")).alias("v"))
+    sums = [V.total(V.zscore(F.col("v"))), V.total(V.scale_minmax(F.col("v")))]
+    began = time.monotonic()
+    z, s, u = df.select(*sums, V.norm(V.unit(F.col("v")))).first()
+    assert time.monotonic() - began < 60
+    assert z == pytest.approx(0, abs=1e-6) and s == pytest.approx(10_000) and u == pytest.approx(1)
+    odd = df.select(V.zscore(F.lit(None).cast("array<double>")).alias("a"), V.zscore(F.array(F.lit(2.0), F.lit(2.0))).alias("b"), V.zscore(F.array().cast("array<double>")).alias("c"), V.unit(F.array(F.lit(0.0))).alias("d")).first()
+    assert odd.a is None and odd.b == [0.0, 0.0] and odd.c == [] and odd.d is None
