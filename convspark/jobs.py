@@ -52,10 +52,9 @@ def annotate(sheets: DataFrame, admin: DataFrame | None = None, speakers: Sequen
     is left out of the merge and shows among the violations. Empty sheets give empty tables. The merged rows are computed and
     written while this is called.
     """
-    filled = annotation.fill_labels_forward(annotation.sheet_labels(sheets))
-    voted = cut(annotation.vote_labels(annotation.align_annotators(filled)))
+    voted = cut(annotation.vote_labels(annotation.merge_sheets(annotation.sheet_labels(sheets))))
     stars = annotation.annotator_quality(admin) if admin is not None else None
-    report = cut(agreement.decision_report(voted, stars, annotation.gold_from_feedback(filled)))
+    report = cut(agreement.decision_report(voted, stars, annotation.gold_of_aligned(voted, sheets)))
     statistics = corpus.movie_statistics(voted).join(report.select("movie", F.col("fleiss").alias("kappa")), "movie")
     low = annotation.low_agreement_dialogs(agreement.overlap_similarity_dialog(voted), report.select("movie", F.col("fleiss").alias("kappa")))
     return Annotated(check_sheets(sheets, speakers, labels), voted, report, statistics, annotation.low_agreement_utterances(voted.drop("overlap"), low))

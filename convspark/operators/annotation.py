@@ -46,14 +46,28 @@ def label_volume(filled: DataFrame, by: Sequence[str] = ("annotator",)) -> DataF
 
 
 def align_annotators(filled: DataFrame) -> DataFrame:
-    """A5: one row an utterance that all three have; other columns from annotator 3. One shuffle by utterance."""
-    keyed = filled.groupBy("utt_id").agg(
-        *[F.max(F.when(F.col("annotator") == k, F.col("labels"))).alias(f"p{k}") for k in (1, 2, 3)],
-        *[F.max(F.when(F.col("annotator") == 3, F.col(c))).alias(c) for c in filled.columns if c not in ("utt_id", "annotator", "labels", "cell", "feedback")],
-    )
+    """A5: one row an utterance that all three have; other columns from annotator 3. One shuffle by utterance.
+
+    Rows are narrowed to what is taken from them and shuffled before they are sorted: an utterance's annotators lie apart,
+    so that nothing can be added up earlier.
+    """
+    names = [c for c in filled.columns if c not in ("utt_id", "annotator", "labels", "cell", "feedback")]
+    whose = F.col("annotator")
+    taken = [F.when(whose == k, F.col("labels")).alias(f"p{k}") for k in (1, 2, 3)] + [F.when(whose == 3, F.col(c)).alias(c) for c in names]
+    rows = filled.select("utt_id", *taken).repartition("utt_id")
+    keyed = rows.groupBy("utt_id").agg(*[F.max(c).alias(c) for c in ("p1", "p2", "p3", *names)])
     return keyed.filter("p1 IS NOT NULL AND p2 IS NOT NULL AND p3 IS NOT NULL")
 
 
+def merge_sheets(sheets: DataFrame) -> DataFrame:
+    """A3 and A5: sheets (labels parsed) filled and aligned. What is taken from annotator 3 only is dropped from the other
+    sheets before anything is shuffled."""
+    keys = ("dialog_id", "utt_id", "pos", "annotator", "labels")
+    rows = sheets.drop("cell", "feedback")
+    narrow = rows.select(*[F.col(c) if c in keys else F.when(F.col("annotator") == 3, F.col(c)).alias(c) for c in rows.columns])
+    return align_annotators(fill_labels_forward(narrow))
+
+
 def _share(conditions: dict[str, Column]) -> list[Column]:
     return [F.count_if(c).alias(name) for name, c in conditions.items()]
 
@@ -125,9 +139,20 @@ def feedback_dialogs(sheet: DataFrame) -> DataFrame:
 
 def gold_from_feedback(filled: DataFrame) -> DataFrame:
     """utt_id, gold, source: whole dialogs that were reviewed, of annotator 3, else 1, else 2."""
+    return filled.join(_reviewed(filled), ["dialog_id", "annotator"]).select("utt_id", F.col("labels").alias("gold"), F.col("annotator").alias("source"))
+
+
+def _reviewed(sheet: DataFrame) -> DataFrame:
+    """dialog_id, annotator: whose labels are gold."""
     order = F.array_position(F.array(F.lit(3), F.lit(1), F.lit(2)), F.col("annotator").cast("int"))
-    chosen = feedback_dialogs(filled).groupBy("dialog_id").agg(F.min_by("annotator", order).alias("annotator"))
-    return filled.join(chosen, ["dialog_id", "annotator"]).select("utt_id", F.col("labels").alias("gold"), F.col("annotator").alias("source"))
+    return feedback_dialogs(sheet).groupBy("dialog_id").agg(F.min_by("annotator", order).alias("annotator"))
+
+
+def gold_of_aligned(aligned: DataFrame, sheet: DataFrame) -> DataFrame:
+    """A16 for utterances that are aligned already: their dialog's reviewed annotator is one of p1, p2, p3, so that sheets
+    are not filled again. Each utterance once."""
+    labels = F.when(F.col("annotator") == 1, F.col("p1")).when(F.col("annotator") == 2, F.col("p2")).otherwise(F.col("p3"))
+    return aligned.join(_reviewed(sheet), "dialog_id").select("utt_id", labels.alias("gold"), F.col("annotator").alias("source"))
 
 
 def similarity_to_gold(aligned: DataFrame, gold: DataFrame, by: Sequence[str] = ()) -> DataFrame:

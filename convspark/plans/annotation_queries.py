@@ -203,7 +203,7 @@ def a4(spark, d):
 
 @query("A5_align_annotators", f"{ALIGNED} SELECT utt_id, dialog_id, speaker, start_tc, array_to_string(p1, '|') AS p1, array_to_string(p2, '|') AS p2, array_to_string(p3, '|') AS p3 FROM al")
 def a5(spark, d):
-    got = A.align_annotators(filled(spark, d))
+    got = A.merge_sheets(A.sheet_labels(sheets(ann(spark, d))))
     return got.select("utt_id", "dialog_id", "speaker", "start_tc", *[F.array_join(p, "|").alias(p) for p in ("p1", "p2", "p3")])
 
 

@@ -55,3 +55,20 @@ def test_packs_and_batches(spark):
     batches = {r.dialog_id: r for r in jobs.training_batches(packs, {"audio": 2}, 2).collect()}
     assert set(batches) == {"m0_0", "m0_1"}
     assert [t.label for t in batches["m0_0"].turns] == [3, 4, -1] and batches["m0_0"].padded == [False, False, True] and batches["m0_0"].turns[2].audio == [0.0, 0.0]
+
+
+def test_gold_without_filling_again(spark):
+    """Gold labels of aligned utterances are those that filled sheets give; only annotator 3's columns reach the merge."""
+    from convspark.operators import annotation
+
+    rows = [("m1", f"m1_{d}", f"m1_{d}_{p}", p, f"t{a}", "A" if p % 2 else "B", a, None if p > 1 and (p + a) % 3 == 0 else "Happy" if p % a else "Sad", "ok" if (d + a) % 3 == 0 and p == 2 else None, "00:00:01") for d in (1, 2, 3) for p in (1, 2, 3, 4) for a in (1, 2, 3)]
+    sheets = annotation.sheet_labels(spark.createDataFrame(rows, SHEET))
+    merged = annotation.merge_sheets(sheets)
+    filled = annotation.fill_labels_forward(sheets)
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(merged.select(sorted(merged.columns))) == key(annotation.align_annotators(filled).select(sorted(merged.columns)))
+    assert {r.text for r in merged.collect()} == {"t3"} and merged.count() == 12
+    gold = key(annotation.gold_from_feedback(filled))
+    assert gold and key(annotation.gold_of_aligned(merged, sheets)) == gold
+    plan = annotation.gold_of_aligned(merged.checkpoint(), sheets)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
