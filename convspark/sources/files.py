@@ -65,8 +65,16 @@ def parse_cues(files: DataFrame, text: str = "text", dialog: str = "dialog_id")
     return rows.withColumn("utt_id", F.concat_ws("_", dialog, "idx"))
 
 
-def parse_subtitles(spark: SparkSession, path: str, dialog: Column | None = None) -> DataFrame:
-    """Cues of the files at path; a file's dialog is its name without the ending, unless told otherwise."""
+def write_subtitles(files: DataFrame, path: str, text: str = "text", dialog: str = "dialog_id") -> None:
+    """Whole subtitle files as rows of Parquet: how many files are written and listed follows their size, not their number."""
+    files.select(F.col(dialog).alias("dialog_id"), F.col(text).alias("text")).write.mode("overwrite").parquet(path)
+
+
+def parse_subtitles(spark: SparkSession, path: str, dialog: Column | None = None, bundled: bool = False) -> DataFrame:
+    """Cues of the files at path; a file's dialog is its name without the ending, unless told otherwise. With bundled,
+    of those that write_subtitles put there."""
+    if bundled:
+        return parse_cues(spark.read.schema("dialog_id string, text string").parquet(path))
     files = spark.read.text(path, wholetext=True)
     name = F.regexp_extract("_metadata.file_path", r"([^/]+?)(\.[^./]*)?$", 1) if dialog is None else dialog
     return parse_cues(files.select(name.alias("dialog_id"), F.col("value").alias("text")))

@@ -72,3 +72,15 @@ def test_gold_without_filling_again(spark):
     assert gold and key(annotation.gold_of_aligned(merged, sheets)) == gold
     plan = annotation.gold_of_aligned(merged.checkpoint(), sheets)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan
+
+
+def test_bundled_subtitles(spark, tmp_path):
+    """As many dialogs as one likes are few files, and parsed like files of their own."""
+    from convspark.sources import files
+
+    text = "1\n00:00:01,031 --> 00:00:01,047\n hi \n\n\n00:00:02,062 --> 00:00:02,094\nno index\n"
+    rows = spark.createDataFrame([(str(i), text) for i in range(300)], "dialog_id string, text string").coalesce(2)
+    files.write_subtitles(rows, str(tmp_path / "s"))
+    assert len(list((tmp_path / "s").glob("**/*.parquet"))) <= 2
+    got = files.parse_subtitles(spark, str(tmp_path / "s"), bundled=True)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, files.parse_cues(rows).collect())) and got.count() == 300
