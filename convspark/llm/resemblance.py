@@ -9,11 +9,13 @@ what many texts share is exploded once, and an entry of one value is the value i
 Members of an entry of up to SMALL texts are all compared. In larger ones, as copies and templates make, members meet by the
 least hash of their shingles under one of MINS hash functions, which two texts alike share with a probability of their
 similarity, each time, and those that only have the same words don't: by each of them across all large entries, and by one
-within each entry. Each is compared with the first. So the number of pairs follows the number of members, and no step
-depends on the size of an entry.
+within each entry. Each is compared with the first. So the number of pairs follows the number of members.
 
 Every pair is verified on the texts' shingles: first each text with its first mate, then those pairs that the components
-found so far leave apart. All texts of a component but the first go. The README has the recall by similarity.
+found so far leave apart. What the first members miss is found exactly: all members of large entries are joined on the
+rarest fifth of their shingles, one of which two texts alike share, and each pair from different components is verified.
+
+All texts of a component but the first go. The README has the recall by similarity.
 """
 
 from __future__ import annotations
@@ -33,8 +35,12 @@ from convspark.llm.simhash import shingle_hashes
 from convspark.operators.numbering import with_sum_before
 
 WORDS, SEGMENTS, MINS = 5, 6, 4
-#: Members of an entry that are all compared; mates of a text that one task compares with it.
+#: Members of an entry that are all compared before the join by shingles; mates of a text that one task compares with it.
 SMALL, MATES = 4, 256
+#: Members of a shingle's blocks, which are joined two by two. Shingles put last in the order of all: how many at most, how
+#: often they occur in so many shingles of a task. Any order gives the same links; that one gives few pairs that aren't.
+BLOCK = 256
+COMMON, OFTEN, COUNTED = 1 << 16, 16, 1 << 19
 SLICE = 1 << 14
 #: Values that a task explodes into their entries.
 SPREAD = 20_000
@@ -102,8 +108,11 @@ def _members(firsts: DataFrame) -> DataFrame:
     return cut(join_counted(valued, side, "value", "n").select("rank", F.explode("entries").alias("entry")))
 
 
-def candidates(firsts: DataFrame) -> DataFrame:
-    """a, b: pairs of ranks (a < b) to verify. firsts: rank, segments, mins of distinct texts, checkpointed."""
+def candidates(firsts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """a, b: pairs of ranks (a < b) to verify; rank: members of large entries, not all pairs of which are among them.
+
+    firsts: rank, segments, mins of distinct texts, checkpointed.
+    """
     members = _members(firsts)
     sizes = cut(members.groupBy("entry").agg(F.count("*").alias("n"), F.min("rank").alias("low"), F.max("rank").alias("high")))
     two = sizes.filter("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
@@ -112,11 +121,77 @@ def candidates(firsts: DataFrame) -> DataFrame:
     many = cut(join_counted(members, sizes.filter(F.col("n") > SMALL).select("entry", "n"), "entry", "n").select("rank", "entry"))
     mins = firsts.select("rank", "mins")
     fine = many.join(mins, "rank").select("rank", F.xxhash64("entry", F.get("mins", F.pmod("entry", F.lit(MINS)).cast("int"))).alias("sub"))
-    coarse = many.select("rank").distinct().join(mins, "rank").select("rank", F.explode(F.transform("mins", lambda m, j: F.xxhash64(m, j))).alias("sub"))
+    large = cut(many.select("rank").distinct())
+    coarse = large.join(mins, "rank").select("rank", F.explode(F.transform("mins", lambda m, j: F.xxhash64(m, j))).alias("sub"))
     keyed = cut(fine.union(coarse).distinct())
     heads = cut(keyed.groupBy("sub").agg(F.min("rank").alias("a"), F.count("*").alias("n")).filter("n > 1"))
     stars = join_counted(keyed, heads, "sub", "n").filter("a < rank").select("a", F.col("rank").alias("b"))
-    return cut(two.union(few.select(F.inline(pairs))).union(stars).distinct())
+    return cut(two.union(few.select(F.inline(pairs))).union(stars).distinct()), large
+
+
+def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[np.ndarray] = []
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        found, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(found[n >= OFTEN].view(np.int64)), pa.array(n[n >= OFTEN])], names=["shingle", "n"])
+
+    for batch in batches:
+        for text in utf8(batch.column("text")):
+            held.append(shingles(text))
+            size += len(held[-1])
+            if size >= COUNTED:
+                yield flush()
+                held, size = [], 0
+    if held:
+        yield flush()
+
+
+def prefix(own: np.ndarray, common: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, in the order of all sets, one of which each set shares that is alike: common ones (sorted) come last, by place."""
+    late = np.zeros(len(own), dtype=np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+        late = np.where(common[at] == own, places[at], 0)
+    return own[np.lexsort((own, late))][: len(own) // 5 + 1]
+
+
+def _prefixes(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, places = shared.value
+        for batch in batches:
+            for rank, text in zip(batch.column("rank").to_pylist(), utf8(batch.column("text")), strict=True):
+                own = shingles(text)
+                first = prefix(own, common, places)
+                columns = [np.full(len(first), rank), first.view(np.int64), np.full(len(first), len(own)), np.arange(len(first))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["rank", "shingle", "size", "at"])
+
+    return run
+
+
+def prefix_pairs(texts: DataFrame, roots: DataFrame) -> DataFrame:
+    """a, b (a < b): pairs of texts with different roots, among them all that are alike. Checkpointed.
+
+    texts: rank, text. roots: node, root; others are their own. Alike sets share a shingle of their prefixes; at the first
+    one enough must be left in both. Members of a shingle are dealt to blocks, so that no task meets all of them.
+    """
+    spark = texts.sparkSession
+    often = texts.select("text").mapInArrow(_often, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    found = often.orderBy(F.desc("n"), "shingle").limit(COMMON).collect()
+    common = np.array([r["shingle"] for r in found], dtype=np.int64).view(np.uint64)
+    order = np.argsort(common)
+    shared = spark.sparkContext.broadcast((common[order], len(common) - order))
+    rows = texts.mapInArrow(_prefixes(shared), "rank long, shingle long, size long, at long")
+    rows = stored(rows.join(roots, F.col("rank") == F.col("node"), "left").select("rank", "shingle", "size", "at", F.coalesce("root", "rank").alias("root")))
+    apart = cut(rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("shingle", "n", F.floor(F.col("n") / BLOCK).alias("last")))
+    met = join_counted(rows, apart, "shingle", "n").withColumn("own", F.pmod(F.xxhash64("rank"), F.col("last") + 1))
+    met = cut(met)
+    left = met.select("shingle", F.col("own").alias("i"), F.explode(F.sequence("own", "last")).alias("j"), *[F.col(c).alias(f"{c}_a") for c in ("rank", "size", "at", "root")])
+    right = met.select("shingle", F.explode(F.sequence(F.lit(0).cast("long"), "own")).alias("i"), F.col("own").alias("j"), *[F.col(c).alias(f"{c}_b") for c in ("rank", "size", "at", "root")])
+    enough = "9 * (1 + least(size_a - at_a - 1, size_b - at_b - 1)) >= 4 * (size_a + size_b)"
+    pairs = left.join(right, ["shingle", "i", "j"]).filter(f"root_a <> root_b AND (i < j OR rank_a < rank_b) AND {enough}")
+    return cut(pairs.select(F.least("rank_a", "rank_b").alias("a"), F.greatest("rank_a", "rank_b").alias("b")).distinct())
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,8 +233,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     firsts = with_sum_before(groups, [F.col("place")], F.lit(1), "rank").select("rank", "whole", F.col("place.key").alias("first"), "segments", "mins", "n")
     firsts = stored(firsts)
     same = join_counted(own.select("key", "whole"), firsts.select("whole", "first", "n"), "whole", "n").filter("key <> first").select("key")
-    pairs = candidates(firsts.select("rank", "segments", "mins"))
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("rank")).distinct().join(firsts.select("rank", "first"), "rank")
+    pairs, large = candidates(firsts.select("rank", "segments", "mins"))
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("rank")).union(large).distinct().join(firsts.select("rank", "first"), "rank")
     texts = stored(docs.select("key", "text").join(needed, F.col("key") == F.col("first")).select("rank", "text").dropDuplicates(["rank"]))
     nearest = cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     links = verified(nearest, texts)
@@ -167,8 +242,12 @@ def repeats(docs: DataFrame) -> DataFrame:
     root = lambda k: roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}"))
     rest = pairs.join(nearest, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
     rest = rest.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    links = links.union(verified(cut(rest), texts))
-    gone = connected_components(links).filter("node <> root").select(F.col("node").alias("rank"))
+    roots = cut(connected_components(links.union(verified(cut(rest), texts))))
+    if not large.isEmpty():
+        missed = verified(cut(prefix_pairs(texts.join(large, "rank", "left_semi"), roots).join(pairs, ["a", "b"], "left_anti")), texts)
+        if not missed.isEmpty():
+            roots = connected_components(roots.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).union(missed))
+    gone = roots.filter("node <> root").select(F.col("node").alias("rank"))
     return same.union(firsts.join(gone, "rank").select(F.col("first").alias("key"))).distinct()
 
 

@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from convspark.llm import resemblance
 
@@ -91,6 +92,55 @@ def test_large_groups(spark, monkeypatch):
     assert gone_of(spark, rows) == set(range(1, 150))
 
 
+@pytest.mark.parametrize("block", [1, 256])
+def test_no_link_lost_in_large_entries(spark, monkeypatch, block):
+    """Alike texts of one large entry that share no least hash are linked all the same."""
+    monkeypatch.setattr(resemblance, "BLOCK", block)
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(120)]
+    rows = []
+    while len(rows) < 6:
+        base = rng.sample(words, 120)
+        i, j, k = sorted(rng.sample(range(121), 3))
+        copy = base[:i] + base[j:k] + base[i:j] + base[k:]
+        sets = [resemblance.shingles(" ".join(x).encode()) for x in (base, copy)]
+        if resemblance.alike(*sets) and not any(x == y for x, y in zip(*map(resemblance.least_hashes, sets), strict=True)):
+            rows += [(len(rows) + n, len(rows) + n, " ".join(x)) for n, x in enumerate((base, copy))]
+    assert gone_of(spark, rows) == resemblance.brute(rows) == {1, 3, 5}
+
+
+@pytest.mark.parametrize("block", [3, 256])
+def test_links_beside_the_first(spark, monkeypatch, block):
+    """Where all texts meet the first one only, the join by shingles finds the groups of brute force; a common frame is in no way."""
+    monkeypatch.setattr(resemblance, "BLOCK", block)
+    monkeypatch.setattr(resemblance, "candidates", lambda firsts: (firsts.selectExpr("0L a", "rank b").filter("b > 0"), firsts.select("rank")))
+    rng = random.Random(6)
+    frame = [f"w{k}" for k in range(40)]
+    rows = []
+    for _ in range(12):
+        base = frame + [f"v{rng.randrange(9000)}" for _ in range(rng.choice([20, 60, 250]))]
+        for changes in (0, 1, 2, 4, 6):
+            copy = list(base)
+            for at in rng.sample(range(len(base)), changes):
+                copy[at] = f"z{rng.randrange(9000)}"
+            rows.append((len(rows), len(rows), " ".join(copy)))
+    every = resemblance.brute(rows)
+    assert 10 <= len(every) <= len(rows) - 12
+    assert gone_of(spark, rows) == every
+
+
+def test_prefix():
+    """Two sets share a shingle of their prefixes if four fifths of their union are common, whatever the order."""
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        both = rng.integers(0, 1 << 62, rng.integers(4, 60)).astype(np.uint64)
+        sets = [np.unique(np.append(both, rng.integers(0, 1 << 62, rng.integers(0, 1 + len(both) // 8)).astype(np.uint64))) for _ in range(2)]
+        common = np.unique(rng.choice(both, len(both) // 2))
+        places = rng.permutation(len(common)) + 1
+        if resemblance.alike(*sets):
+            assert len(np.intersect1d(*[resemblance.prefix(s, common, places) for s in sets]))
+
+
 def test_members(spark):
     """Two fingerprints share an entry exactly if some segment differs by at most one bit: any two at most eleven bits apart."""
     rng = random.Random(1)
