@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -168,12 +167,12 @@ def _search(shared: list):
 
 
 def _holds(shared: list) -> Callable[..., Column]:
-    @F.pandas_udf("boolean")
-    def run(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def run(texts: pa.Array) -> pa.Array:
         held = np.zeros(len(texts), dtype=bool)
-        for k, _ in _searched(shared, [t if isinstance(t, str) else None for t in texts]):
+        for k, _ in _searched(shared, texts.to_pylist()):
             held[k] = True
-        return pd.Series(held)
+        return pa.array(held)
 
     return run
 

@@ -14,7 +14,6 @@ from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -137,16 +136,16 @@ def train(docs: DataFrame, where: Column) -> Model:
 def _predictor(shared) -> Callable[..., Column]:
     """The prediction as a column of the text: only that goes to Python and only the prediction comes back."""
 
-    @F.pandas_udf("lang_pred string, score double, has_letter boolean")
-    def run(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("lang_pred string, score double, has_letter boolean")
+    def run(texts: pa.Array) -> pa.Array:
         worker_cache("langid")
-        values, langs, scores = [t if isinstance(t, str) else None for t in texts], [], []
+        values, langs, scores = texts.to_pylist(), [], []
         for at in range(0, len(values), 128):
             found = predict(shared.value, values[at : at + 128])
             langs.extend(found[0])
             scores.extend(found[1])
         letters = [bool(t and _LETTER.search(t)) for t in values]
-        return pd.DataFrame({"lang_pred": langs, "score": np.array(scores, dtype=float), "has_letter": np.array(letters, dtype=bool)})
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(letters, pa.bool_())], names=["lang_pred", "score", "has_letter"])
 
     return run
 

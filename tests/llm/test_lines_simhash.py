@@ -1,5 +1,9 @@
 import random
+import subprocess
+import sys
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +88,19 @@ def test_links_of_close_fingerprints(spark):
             root[p] = root[q] = min(root[p], root[q])
     assert {p: got.get(p, p) for p in prints} == root
     assert links.filter(F.col("a") == F.col("b")).count() == 0
+
+
+def test_tasks_hold_little():
+    """What a task hashes at once stays small, however many lines it reads."""
+    batch = pa.RecordBatch.from_pydict({"text": ["\n".join(str(k) for k in range(at, at + 1000)) for at in range(0, 1_200_000, 1000)]})
+    tracemalloc.start()
+    found = sum(sum(b.column("lines").to_pylist()) for b in lines._filter_bits(24, 1)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 1_200_000 and peak < 100e6
+
+
+def test_workers_of_the_pipeline_need_no_pandas():
+    """A worker lives through all stages, and so would pandas, in each of them."""
+    code = "import sys; import corpus_pipeline; sys.exit('pandas' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", code], check=False).returncode == 0
