@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from convspark.llm.common import cut, join_counted, only, stored
+from convspark.llm.common import cut, join_counted, only, stored, worker_cache
 from convspark.llm.filters import bitmap, mixed, passes
 from convspark.operators.numbering import with_sum_before
 
@@ -34,7 +34,8 @@ UNKNOWN = "und"
 #: Words whose numbers are broadcast; those of all others are joined.
 HEAD = 1 << 18
 #: Occurrences that a task folds at a time; distinct words that it counts before it hands them on; numbers of a stored row.
-FLUSH, WORDS, ROW = 1 << 21, 1 << 19, 1 << 18
+#: Folding takes some ten times its cells, in each task of an executor at once.
+FLUSH, WORDS, ROW = 1 << 19, 1 << 16, 1 << 17
 #: Occurrences for each range of quotients, the least number of ranges, and bits of a quotient within its range.
 RANGE, RANGES, SLOT_BITS = 1 << 22, 256, 8
 #: Rows of a task that picks its best ones first.
@@ -53,6 +54,7 @@ def pieces(text: bytes) -> list[bytes]:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_cache("collocations: words")
     counts: dict[str, Counter] = defaultdict(Counter)
 
     def flush() -> pa.RecordBatch:
@@ -112,6 +114,7 @@ def _encode(head, bits: int):
     kind = np.uint16 if bits <= 16 else np.uint32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("collocations: codes")
         held: list[np.ndarray] = []
         size = 0
 
@@ -282,6 +285,7 @@ def _filters(packing: Packing, range_bits: int, shorter):
             yield pa.RecordBatch.from_arrays([pa.array(found[part]), pa.array(data, pa.binary())], names=["number", "filter"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("collocations: filters")
         held: list[list[np.ndarray]] = []
         done: Filter | None = None
         size = 0
@@ -315,6 +319,7 @@ def _merged(packing: Packing, range_bits: int, least: int):
         return pa.RecordBatch.from_arrays([lists, pa.array(f.counts[keep]), pa.array(packing.hashes(cells).view(np.int64))], names=["ids", "a", "hash"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("collocations: merges")
         number, held, size = None, [], 0
         for batch in batches:
             for own, data in zip(batch.column("number").to_pylist(), batch.column("filter"), strict=True):

@@ -1,8 +1,10 @@
 """Collocations against their definition, and filters that lose nothing."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from convspark.llm import collocations as c
@@ -70,3 +72,19 @@ def test_bitmap_passes_all_members(spark):
     found = filters.bitmap(spark.createDataFrame([(int(v),) for v in values[:1000].view(np.int64)], "hash long"), 1000)
     passed = filters.passes(found.value, values)
     assert passed[:1000].all() and passed[1000:].mean() < 0.1
+
+
+def test_tasks_hold_little():
+    """What a task counts and folds at once stays small, however much it reads."""
+    words = [f"w{k}" for k in range(200_000)]
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * 2000, "text": [" ".join(words[k : k + 100]) for k in range(0, 200_000, 100)]})
+    found = list(c._count_words(iter([batch])))
+    assert sum(b.num_rows for b in found) == 200_000 and max(b.num_rows for b in found) < 100_000
+    rng = np.random.default_rng(1)
+    codes = pa.RecordBatch.from_pydict({"codes": [rng.integers(1, 8000, 1 << 18).astype(np.uint16).tobytes() for _ in range(8)]})
+    tracemalloc.start()
+    for _ in c._filters(c.Packing(5, 13), 8, None)(iter([codes])):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
