@@ -11,9 +11,10 @@ least hash of their shingles under one of MINS hash functions, which two texts a
 similarity, each time, and those that only have the same words don't: by each of them across all large entries, and by one
 within each entry. Each is compared with the first. So the number of pairs follows the number of members.
 
-Every pair is verified on the texts' shingles: first each text with its first mate, then those pairs that the components
-found so far leave apart. What the first members miss is found exactly: all members of large entries are joined on the
-rarest fifth of their shingles, one of which two texts alike share, and each pair from different components is verified.
+Every pair is verified on the texts' shingles. What the first members miss is found exactly: all members of large entries are joined on the
+rarest fifth of their shingles, one of which two texts alike share, in the rarest ninth of the smaller one. The join itself
+drops pairs of which enough shingles are sure to differ: each text has PARITY bits, each the parity of how many of its
+shingles fall to it, and two texts differ in as many shingles as in bits at least. What is left is verified.
 
 All texts of a component but the first go. The README has the recall by similarity.
 """
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convspark.llm.common import cut, join_counted, only, stored, utf8, worker_cache
+from convspark.llm.common import cut, join_counted, only, shuffles_dropped, stored, utf8, worker_cache
 from convspark.llm.components import connected_components
 from convspark.llm.filters import mixed
 from convspark.llm.simhash import shingle_hashes
@@ -41,6 +42,8 @@ SMALL, MATES = 4, 256
 #: often they occur in so many shingles of a task. Any order gives the same links; that one gives few pairs that aren't.
 BLOCK = 256
 COMMON, OFTEN, COUNTED = 1 << 16, 16, 1 << 19
+PARITY = 512
+BITS = [f"bits{k}" for k in range(PARITY // 64)]
 SLICE = 1 << 14
 #: Values that a task explodes into their entries.
 SPREAD = 20_000
@@ -157,6 +160,12 @@ def prefix(own: np.ndarray, common: np.ndarray, places: np.ndarray) -> np.ndarra
     return own[np.lexsort((own, late))][: len(own) // 5 + 1]
 
 
+def parities(own: np.ndarray) -> np.ndarray:
+    """PARITY bits of a set as longs: whether an odd number of its shingles fall to each. Sets differ in as many shingles as in bits at least."""
+    counts = np.bincount((own % np.uint64(PARITY)).astype(np.int64), minlength=PARITY)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def _prefixes(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, places = shared.value
@@ -165,7 +174,8 @@ def _prefixes(shared):
                 own = shingles(text)
                 first = prefix(own, common, places)
                 columns = [np.full(len(first), rank), first.view(np.int64), np.full(len(first), len(own)), np.arange(len(first))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["rank", "shingle", "size", "at"])
+                columns += [np.full(len(first), x) for x in parities(own)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["rank", "shingle", "size", "at", *BITS])
 
     return run
 
@@ -174,7 +184,8 @@ def prefix_pairs(texts: DataFrame, roots: DataFrame) -> DataFrame:
     """a, b (a < b): pairs of texts with different roots, among them all that are alike. Checkpointed.
 
     texts: rank, text. roots: node, root; others are their own. Alike sets share a shingle of their prefixes; at the first
-    one enough must be left in both. Members of a shingle are dealt to blocks, so that no task meets all of them.
+    one enough must be left in both, so that it is in the first ninth of the smaller set (a; early). Members of a shingle
+    are dealt to blocks, so that no task meets all of them.
     """
     spark = texts.sparkSession
     often = texts.select("text").mapInArrow(_often, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
@@ -182,15 +193,23 @@ def prefix_pairs(texts: DataFrame, roots: DataFrame) -> DataFrame:
     common = np.array([r["shingle"] for r in found], dtype=np.int64).view(np.uint64)
     order = np.argsort(common)
     shared = spark.sparkContext.broadcast((common[order], len(common) - order))
-    rows = texts.mapInArrow(_prefixes(shared), "rank long, shingle long, size long, at long")
-    rows = stored(rows.join(roots, F.col("rank") == F.col("node"), "left").select("rank", "shingle", "size", "at", F.coalesce("root", "rank").alias("root")))
-    apart = cut(rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("shingle", "n", F.floor(F.col("n") / BLOCK).alias("last")))
-    met = join_counted(rows, apart, "shingle", "n").withColumn("own", F.pmod(F.xxhash64("rank"), F.col("last") + 1))
-    met = cut(met)
-    left = met.select("shingle", F.col("own").alias("i"), F.explode(F.sequence("own", "last")).alias("j"), *[F.col(c).alias(f"{c}_a") for c in ("rank", "size", "at", "root")])
-    right = met.select("shingle", F.explode(F.sequence(F.lit(0).cast("long"), "own")).alias("i"), F.col("own").alias("j"), *[F.col(c).alias(f"{c}_b") for c in ("rank", "size", "at", "root")])
-    enough = "9 * (1 + least(size_a - at_a - 1, size_b - at_b - 1)) >= 4 * (size_a + size_b)"
-    pairs = left.join(right, ["shingle", "i", "j"]).filter(f"root_a <> root_b AND (i < j OR rank_a < rank_b) AND {enough}")
+    names = ["rank", "size", "at", "root", *BITS]
+    rows = texts.mapInArrow(_prefixes(shared), ", ".join(f"{c} long" for c in ("rank", "shingle", "size", "at", *BITS)))
+    rows = rows.join(roots, F.col("rank") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rank"))
+    rows = stored(rows.select("shingle", *names))
+    early = F.expr("9 * at <= size")
+    held = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.count_if(early).alias("first"), F.min(F.when(early, F.col("size"))).alias("least"), F.min("root").alias("low"), F.max("root").alias("high"))
+    apart = cut(held.filter("low <> high AND first > 0").select("shingle", "n", "least", *[F.floor(F.col(c) / BLOCK).alias(f"last_{c}") for c in ("n", "first")]))
+    # a late one needs a set so much smaller among the early ones
+    met = cut(join_counted(rows, apart, "shingle", "n").filter("4 * least <= 5 * size - 9 * at"))
+    dealt = lambda last: F.pmod(F.xxhash64("rank"), F.col(last) + 1)
+    every = lambda last: F.explode(F.sequence(F.lit(0).cast("long"), last))
+    left = met.filter(early).select("shingle", dealt("last_first").alias("i"), every("last_n").alias("j"), *[F.col(c).alias(f"{c}_a") for c in names])
+    right = met.select("shingle", every("last_first").alias("i"), dealt("last_n").alias("j"), *[F.col(c).alias(f"{c}_b") for c in names])
+    smaller = "(size_a < size_b OR (size_a = size_b AND rank_a < rank_b))"
+    enough = "9 * least(size_a - at_a, size_b - at_b) >= 4 * (size_a + size_b)"
+    near = f"9 * ({' + '.join(f'bit_count({c}_a ^ {c}_b)' for c in BITS)}) <= size_a + size_b"
+    pairs = left.join(right, ["shingle", "i", "j"]).filter(f"root_a <> root_b AND {smaller} AND {enough} AND {near}")
     return cut(pairs.select(F.least("rank_a", "rank_b").alias("a"), F.greatest("rank_a", "rank_b").alias("b")).distinct())
 
 
@@ -226,6 +245,11 @@ def repeats(docs: DataFrame) -> DataFrame:
     lower-cased. Blank and null texts are alike. Rows that repeat a key are one document. Computes while it is called, and
     writes to the checkpoint folder.
     """
+    with shuffles_dropped(docs.sparkSession):
+        return _repeats(docs)
+
+
+def _repeats(docs: DataFrame) -> DataFrame:
     docs = only(docs, "key", "doc_id", "text")
     own = stored(docs.mapInArrow(_sketches, "key binary, doc_id long, whole binary, segments array<long>, mins array<long>"))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
@@ -236,13 +260,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     pairs, large = candidates(firsts.select("rank", "segments", "mins"))
     needed = pairs.select(F.explode(F.array("a", "b")).alias("rank")).union(large).distinct().join(firsts.select("rank", "first"), "rank")
     texts = stored(docs.select("key", "text").join(needed, F.col("key") == F.col("first")).select("rank", "text").dropDuplicates(["rank"]))
-    nearest = cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    links = verified(nearest, texts)
-    roots = cut(connected_components(links))
-    root = lambda k: roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}"))
-    rest = pairs.join(nearest, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
-    rest = rest.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    roots = cut(connected_components(links.union(verified(cut(rest), texts))))
+    roots = cut(connected_components(verified(pairs, texts)))
     if not large.isEmpty():
         missed = verified(cut(prefix_pairs(texts.join(large, "rank", "left_semi"), roots).join(pairs, ["a", "b"], "left_anti")), texts)
         if not missed.isEmpty():

@@ -129,6 +129,48 @@ def test_links_beside_the_first(spark, monkeypatch, block):
     assert gone_of(spark, rows) == every
 
 
+@pytest.mark.parametrize("block", [3, 256])
+def test_cloud_of_unlike_texts(spark, monkeypatch, block):
+    """Texts of one frame that share all but a fifth of it are many, alike to few: the join itself leaves out most pairs that are not alike, and none that is."""
+    monkeypatch.setattr(resemblance, "BLOCK", block)
+    rng = random.Random(12)
+    frame = [f"w{k}" for k in range(150)]
+    rows = []
+    for _ in range(70):
+        copy = list(frame)
+        for at in rng.sample(range(150), rng.choice([1, 3, 3, 3, 3])):
+            copy[at] = f"z{rng.randrange(9000)}"
+        rows.append((len(rows), " ".join(copy[: rng.choice([125, 140, 150])])))
+    sets = [resemblance.shingles(t.encode()) for _, t in rows]
+    every = {(a, b) for b in range(70) for a in range(b) if resemblance.alike(sets[a], sets[b])}
+    texts = spark.createDataFrame(rows, "rank long, text string")
+    got = {(r.a, r.b) for r in resemblance.prefix_pairs(texts, spark.createDataFrame([], "node long, root long")).collect()}
+    # of the other pairs, 511 share a shingle early enough
+    assert len(every) > 60 and every <= got and len(got - every) <= 60
+
+
+def test_parities():
+    """Two sets differ in as many shingles as in parities at least; the bits of small differences are seen."""
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 7, 150, 4000):
+        both = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        for extra in (0, 1, 20, 300):
+            a, b = (np.unique(np.append(both, rng.integers(0, 1 << 63, extra).astype(np.uint64))) for _ in range(2))
+            bits = sum(int(x).bit_count() for x in (resemblance.parities(a) ^ resemblance.parities(b)).view(np.uint64))
+            apart = len(np.setxor1d(a, b))
+            assert bits <= apart and (bits >= 0.75 * apart or extra > 20)
+            assert len(resemblance.parities(a)) == len(resemblance.BITS)
+
+
+def test_shuffles_are_dropped_while_groups_are_found(spark, monkeypatch):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, seen = spark.conf.get(name), []
+    found = resemblance.candidates
+    monkeypatch.setattr(resemblance, "candidates", lambda firsts: seen.append(spark.conf.get(name)) or found(firsts))
+    assert gone_of(spark, [(1, 1, "a b"), (2, 2, "a b"), (3, 3, "c")]) == {2}
+    assert seen == ["true"] and spark.conf.get(name) == before
+
+
 def test_prefix():
     """Two sets share a shingle of their prefixes if four fifths of their union are common, whatever the order."""
     rng = np.random.default_rng(3)
